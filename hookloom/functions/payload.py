@@ -33,6 +33,15 @@ def envelope_payload(envelope: Column) -> Column:
     return F.try_variant_get(envelope, "$[0]", "variant")
 
 
+def strict_document(text: Column) -> Column:
+    """The parsed text, NULL unless it is exactly one JSON object or null."""
+    parsed = F.transform(
+        F.array(parse_envelope(text)),
+        lambda envelope: F.when(envelope_is_strict(envelope, text), envelope_payload(envelope)),
+    )
+    return F.get(parsed, F.lit(0))
+
+
 def compile_path(path: Column) -> Column:
     """Turn ``a.b`` into the variant path ``$['a']['b']``.
 

@@ -146,6 +146,7 @@ def classify_requests(
         F.when(~F.col("_redact_raw"), body).alias("raw"),
         "request_id",
         "received_at",
+        "headers",
         outcome.alias("outcome"),
         F.when(F.col("_early").isNull(), F.col("_signature")).alias("reason"),
         F.when(outcome == "unserializable", F.col("_micros")).alias("timestamp_micros"),

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hookloom.functions.payload import strict_document
+from hookloom.operators.normalize import computed_once
+
 # Rows kept per source, in the queue and in the dead-letter table.
 EVENTS_PER_SOURCE = 100_000
 QUEUE_LENGTH = 1_000_000
@@ -110,13 +113,13 @@ def trim_table(df: DataFrame, n: int, time: str, row_id: str, **options) -> Data
 
 def parse_stored(entries: DataFrame, column: str = "event") -> DataFrame:
     """Stored JSON entries as variants in ``parsed``, skipping missing or unreadable ones."""
-    parsed = entries.withColumn("parsed", F.try_parse_json(column))
+    parsed = computed_once(entries, parsed=strict_document(F.col(column)))
     return parsed.filter(F.col("parsed").isNotNull())
 
 
 def corrupt_counts(entries: DataFrame, column: str = "event") -> DataFrame:
     """Readable and skipped entries per source."""
-    readable = F.try_parse_json(column).isNotNull()
+    readable = strict_document(F.col(column)).isNotNull()
     return entries.groupBy("source").agg(
         F.count_if(readable).alias("readable"), F.count_if(~readable).alias("skipped")
     )

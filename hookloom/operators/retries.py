@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hookloom.functions.payload import strict_document
 from hookloom.functions.requests import retry_delay_seconds
 from hookloom.operators.dedupe import DAY, ttl_duplicates
 from hookloom.schemas import REQUESTS
@@ -73,13 +74,28 @@ def route_dead_letters(plan: DataFrame) -> DataFrame:
         "message_id",
         "source",
         "payload",
-        F.try_parse_json("payload").isNotNull().alias("readable"),
+        strict_document(F.col("payload")).isNotNull().alias("readable"),
         F.col("error").alias("reason"),
         F.col("attempts").cast("int").alias("attempts"),
         "failed_at",
     )
 
 
+def events_from_payload(dead_letters: DataFrame) -> DataFrame:
+    """Rows of `route_dead_letters` with the fields of the event in their payload."""
+    event = F.try_parse_json("payload")  # checked by `readable`
+    text = lambda path: F.try_variant_get(event, path, "string")
+    return dead_letters.filter("readable").select(
+        F.coalesce(text("$.request_id"), "message_id").alias("request_id"),
+        F.coalesce(text("$.source"), "source").alias("source"),
+        text("$.version").alias("version"),
+        F.try_variant_get(event, "$.raw", "variant").alias("raw"),
+        F.col("failed_at").alias("received_at"),
+        "reason",
+        "attempts",
+    )
+
+
 def dead_letters_as_requests(dead_letters: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Dead-lettered events in request shape, to be ingested again.
 

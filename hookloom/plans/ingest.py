@@ -40,6 +40,7 @@ def dead_letter_table(classified: DataFrame) -> DataFrame:
     lost = classified.filter(F.col("outcome") == "unserializable")
     return lost.select(
         *EVENT_COLUMNS,
+        "headers",
         F.concat(F.lit("timestamp out of range: "), F.col("timestamp_micros")).alias("reason"),
         F.lit(0).alias("attempts"),
         F.col("received_at").alias("failed_at"),

@@ -1,0 +1,79 @@
+"""Run registered queries and their SQL side by side: python -m tests.compare [sf_dir] [query ...]"""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def _value(v):
+    if isinstance(v, bool) or v is None:
+        return v
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 9)
+    return str(v) if not isinstance(v, int) else v
+
+
+def normalized(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
+
+
+def compare(spark, con, query, sql: str | None, sf_dir: str) -> str:
+    """'' when both sides agree, else what differs."""
+    df = query(spark, sf_dir)
+    got = normalized(df.columns, df.collect())
+    if sql is None:
+        return "" if got else "no rows"
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} != {sorted(names)}"
+    want = normalized(names, result.fetchall())
+    if len(got) != len(want):
+        return f"{len(got)} rows != {len(want)}"
+    for g, w in zip(got, want):
+        if g != w:
+            return f"{g} != {w}"
+    return "" if got else "no rows"
+
+
+def main(sf_dir: str, names: list[str]) -> int:
+    import __spark_entry__ as entry
+    from tests.conftest import local_session
+
+    spark = local_session()
+    con = oracle_connection(sf_dir)
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    failed = 0
+    for name in names or queries:
+        start = time.time()
+        try:
+            problem = compare(spark, con, queries[name], oracles.get(name), sf_dir)
+        except Exception as error:  # report and go on with the next query
+            problem = f"{type(error).__name__}: {str(error)[:600]}"
+        failed += bool(problem)
+        print(f"{name}: {'ok' if not problem else 'FAILED ' + problem} ({time.time() - start:.1f} s)", flush=True)
+    return failed
+
+
+if __name__ == "__main__":
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    arguments = sys.argv[1:] or ["/root/testdata/sf0.01"]
+    sys.exit(main(arguments[0], arguments[1:]))

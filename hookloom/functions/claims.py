@@ -24,18 +24,23 @@ def key_starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def runs_by_key(batches: Batches, keys: list[str]) -> Iterator[tuple[bool, pd.DataFrame]]:
-    """Split batches at key changes; the flag tells whether the key is a new one."""
-    last = None
+def whole_runs(batches: Batches, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Regroup batches so that rows equal in ``columns`` are never split between two."""
+    held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        starts = key_starts(batch, keys)
-        for start, end in zip(starts, [*starts[1:], len(batch)]):
-            run = batch.iloc[start:end]
-            key = tuple(run.iloc[0][keys])
-            yield key != last, run
-            last = key
+        if held and any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in columns):
+            yield pd.concat(held)
+            held = []
+        last = key_starts(batch, columns)[-1]
+        if last:
+            yield pd.concat([*held, batch.iloc[:last]])
+            held = [batch.iloc[last:]]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held)
 
 
 def claim_marker(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
@@ -76,34 +81,22 @@ def offset_thinner(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]
     """
 
     def thin(batches: Batches) -> Batches:
-        parts: list[pd.DataFrame] = []
-        reached, reached_bucket, bucket = np.empty(0, dtype=np.int64), None, None
-
-        def close() -> pd.DataFrame:
-            nonlocal reached, reached_bucket, parts
-            rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-            offsets = rows["offset"].to_numpy()
-            keep = np.array([0])
-            if reached_bucket == bucket - 1:
-                follow = np.searchsorted(offsets, reached)
-                keep = np.union1d(keep, follow[follow < len(offsets)])
-            reached, reached_bucket, parts = offsets[keep], bucket, []
-            return rows.iloc[keep]
-
-        for new_key, run in runs_by_key(batches, keys):
-            cuts = np.flatnonzero(np.diff(run["bucket"].to_numpy())) + 1
-            for i, (start, end) in enumerate(zip([0, *cuts], [*cuts, len(run)])):
-                piece = run.iloc[start:end]
-                here = int(piece["bucket"].iloc[0])
-                fresh_key = new_key and i == 0
-                if parts and (fresh_key or here != bucket):
-                    yield close()
-                if fresh_key:
-                    reached_bucket = None
-                bucket = here
-                parts.append(piece)
-        if parts:
-            yield close()
+        last_key, last_bucket, reached = None, None, np.empty(0, dtype=np.int64)
+        for batch in whole_runs(batches, [*keys, "bucket"]):
+            offsets, buckets = batch["offset"].to_numpy(), batch["bucket"].to_numpy()
+            columns = [batch[k].to_numpy() for k in keys]
+            keep = np.zeros(len(batch), dtype=bool)
+            starts = key_starts(batch, [*keys, "bucket"])
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                key, bucket = tuple(c[start] for c in columns), buckets[start]
+                here = offsets[start:end]
+                rows = np.zeros(1, dtype=np.int64)
+                if key == last_key and bucket == last_bucket + 1:
+                    follow = np.searchsorted(here, reached)
+                    rows = np.union1d(rows, follow[follow < len(here)])
+                keep[start + rows] = True
+                last_key, last_bucket, reached = key, bucket, here[rows]
+            yield batch[keep]
 
     return thin
 
@@ -115,23 +108,21 @@ def time_thinner(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
     first row one TTL later. Input is sorted by key and time.
     """
 
-    def reachable(rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows["us"].to_numpy()
+    def reachable(times: np.ndarray) -> np.ndarray:
         follow = np.searchsorted(times, times + ttl_us)
         reached = times < times[0] + ttl_us
         for row in range(len(times)):
             if reached[row] and follow[row] < len(times):
                 reached[follow[row]] = True
-        return rows[reached]
+        return reached
 
     def thin(batches: Batches) -> Batches:
-        parts: list[pd.DataFrame] = []
-        for new_key, run in runs_by_key(batches, keys):
-            if new_key and parts:
-                yield reachable(pd.concat(parts))
-                parts = []
-            parts.append(run)
-        if parts:
-            yield reachable(pd.concat(parts))
+        for batch in whole_runs(batches, keys):
+            starts = key_starts(batch, keys)
+            keep = np.concatenate([
+                reachable(batch["us"].to_numpy()[start:end])
+                for start, end in zip(starts, [*starts[1:], len(batch)])
+            ])
+            yield batch[keep]
 
     return thin

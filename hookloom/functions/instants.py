@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 # Accepted text forms and the bounds that pick the epoch unit.
 CALENDAR = r"^\d{4}-\d\d-\d\dT\d{1,2}:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)?$"
-INTEGER = r"^[+-]?\d+$"
-FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?(inf|infinity|nan)$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?(inf|infinity|nan)$"
 MICROS_ABOVE = 10**15
 MILLIS_ABOVE = 10**12
 
 # Years 0 to 9999 can be written as JSON timestamps; in microseconds.
 YEAR_0 = -62_167_219_200_000_000
 YEAR_10000 = 253_402_300_800_000_000
-# A marker for epochs no timestamp can hold.
+# Stands for an epoch no timestamp can hold.
 UNREPRESENTABLE = -(2**63)
 
 
 def calendar_timestamp(text: Column) -> Column:
-    """RFC 3339 text, or the same without an offset, taken as UTC. Else NULL."""
-    text = F.regexp_replace(text, r"([.,]\d{1,6})\d*", "$1")
+    """RFC 3339 text, or the same without an offset, taken as UTC. Else NULL.
+
+    The text must match `CALENDAR`.
+    """
+    # Digits past the microsecond are cut; only such texts are this long.
+    text = F.when(
+        F.length(text) > 26, F.regexp_replace(text, r"([.,]\d{1,6})\d*", "$1")
+    ).otherwise(text)
     text = F.translate(text, ",", ".")
-    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
-    return zoned.try_cast("timestamp")
+    has_offset = text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-")
+    return F.when(has_offset, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
 
 
 def epoch_micros(epoch: Column) -> Column:
@@ -37,33 +42,27 @@ def epoch_micros(epoch: Column) -> Column:
     )
 
 
-def instant_micros(value: Column) -> Column:
-    """Microseconds since the epoch named by a variant, NULL when it names none.
+def calendar_micros(text: Column) -> Column:
+    return F.when(text.rlike(CALENDAR), F.unix_micros(calendar_timestamp(text)))
+
+
+def epoch_number(value: Column, kind: Column, text: Column) -> Column:
+    """Whole epoch named by a variant, fractions cut; NULL when it names none.
 
-    The result may lie outside the writable years; see `is_writable`.
+    ``kind`` is the variant's schema and ``text`` its string value, both computed before.
     """
-    kind = F.schema_of_variant(value)
-    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-    number = F.when(
-        kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"),
-        F.try_variant_get(value, "$", "double"),
-    )
     lost = F.lit(UNREPRESENTABLE).cast("bigint")
-    whole = F.coalesce(
-        F.try_variant_get(F.when(kind == "BIGINT", value), "$", "bigint"),
-        number.try_cast("bigint"),
-    )
-    from_number = F.when(number.isNotNull(), F.coalesce(epoch_micros(whole), lost))
-    is_calendar = text.rlike(CALENDAR)
-    whole_text = F.coalesce(
-        F.when(text.rlike(INTEGER), text.try_cast("bigint")),
-        text.try_cast("double").try_cast("bigint"),
-    )
-    from_text = (
-        F.when(is_calendar, F.unix_micros(calendar_timestamp(text)))
-        .when(text.rlike(INTEGER) | text.rlike(FLOAT), F.coalesce(epoch_micros(whole_text), lost))
+    return (
+        F.when(
+            (kind == "STRING") & text.rlike(NUMBER),
+            F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), lost),
+        )
+        .when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+        .when(
+            (kind == "DOUBLE") | kind.startswith("DECIMAL"),
+            F.coalesce(F.try_variant_get(value, "$", "double").try_cast("bigint"), lost),
+        )
     )
-    return F.coalesce(from_number, from_text)
 
 
 def is_writable(micros: Column) -> Column:

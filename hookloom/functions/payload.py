@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,11 +35,10 @@ def envelope_payload(envelope: Column) -> Column:
 
 def strict_document(text: Column) -> Column:
     """The parsed text, NULL unless it is exactly one JSON object or null."""
-    parsed = F.transform(
-        F.array(parse_envelope(text)),
+    return bound(
+        parse_envelope(text),
         lambda envelope: F.when(envelope_is_strict(envelope, text), envelope_payload(envelope)),
     )
-    return F.get(parsed, F.lit(0))
 
 
 def compile_path(path: Column) -> Column:
@@ -76,60 +75,59 @@ def without_null(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), value)
 
 
+def bound(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is worked out once however often ``result`` uses it."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
 def plain_number(number: Column) -> Column:
     """Shortest decimal digits of a double or decimal, without an exponent."""
     text = F.coalesce(number.try_cast("decimal(38,18)").cast("string"), number.cast("string"))
-    return F.when(
-        text.contains("."), F.regexp_replace(text, r"\.?0+$", "")
-    ).otherwise(text)
+    return F.regexp_replace(text, r"(\.\d*[1-9])0+$|\.0+$", "$1")
 
 
-def general_number(number: Column) -> Column:
-    """Like `plain_number`, but with an exponent below 1e-4 and from 1e6 on."""
-    plain = plain_number(number)
-    digits = F.regexp_replace(F.regexp_replace(plain, r"[-.]", ""), r"^0+", "")
+def with_exponent(plain: Column) -> Column:
+    """Decimal digits rewritten with an exponent of at least two digits."""
+    digits = F.regexp_replace(plain, r"^-?[0.]*|\.", "")
     whole = F.length(F.regexp_extract(plain, r"^-?([1-9]\d*)", 1))
     leading = F.length(F.regexp_extract(plain, r"^-?0\.(0*)", 1))
     exponent = F.when(whole > 0, whole - 1).otherwise(-1 - leading)
-    mantissa = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 99))).otherwise(""),
-    )
-    scientific = F.concat(
+    return F.concat(
         F.when(plain.startswith("-"), "-").otherwise(""),
-        mantissa,
+        F.regexp_replace(digits, r"^(\d)(\d)", "$1.$2"),
         F.when(exponent < 0, "e-").otherwise("e+"),
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
+
+
+def general_number(number: Column) -> Column:
+    """Like `plain_number`, but with an exponent below 1e-4 and from 1e6 on."""
     size = F.abs(number.cast("double"))
-    return F.when((size < 1e-4) | (size >= 1e6), scientific).otherwise(plain)
+    plain = plain_number(number)
+    return F.when((size < 1e-4) | (size >= 1e6), bound(plain, with_exponent)).otherwise(plain)
 
 
-def scalar_text(value: Column, general: bool = False) -> Column:
+def scalar_text(value: Column, kind: Column, general: bool = False) -> Column:
     """Stable text of a variant scalar; NULL stays NULL, arrays and objects give JSON.
 
+    ``kind`` is the variant's schema, computed before.
+
     Whole numbers print as digits. Other numbers print in plain decimal, or with
     ``general`` the way a general float format does.
     """
-    kind = F.schema_of_variant(value)
     as_double = F.try_variant_get(value, "$", "double")
     as_decimal = F.try_variant_get(value, "$", "decimal(38,18)")
     number = general_number if general else plain_number
-    fraction = F.coalesce(number(as_decimal), number(as_double))
-    whole_double = as_double.try_cast("bigint")
+    text = F.try_variant_get(value, "$", "string")
     return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(value, "$", "string"))
-        .when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), F.try_variant_get(value, "$", "string"))
-        .when(
-            (kind == "DOUBLE") & (whole_double.cast("double") == as_double),
-            whole_double.cast("string"),
-        )
+        F.when(kind.isin("STRING", "BIGINT", "BOOLEAN"), text)
+        .when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), text)
         .when(
-            kind.startswith("DECIMAL") & (F.try_variant_get(value, "$", "decimal(38,0)") == as_decimal),
-            F.try_variant_get(value, "$", "decimal(38,0)").cast("string"),
+            (kind == "DOUBLE") & (as_double.try_cast("bigint") == as_double),
+            as_double.try_cast("bigint").cast("string"),
         )
-        .when(kind.startswith("DECIMAL"), fraction)
         .when(kind == "DOUBLE", number(as_double))
+        .when(kind.startswith("DECIMAL") & (as_decimal % 1 == 0), plain_number(as_decimal))
+        .when(kind.startswith("DECIMAL"), F.coalesce(number(as_decimal), number(as_double)))
         .when(kind != "VOID", F.to_json(value))
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hookloom.functions.payload import compile_path
+from hookloom.functions.payload import compile_path, value_at, without_null
 from hookloom.functions.requests import hmac_pads
 from hookloom.schemas import SPECS
 from hookloom.session import MAX_BROADCAST_BYTES, localize_if_small
@@ -78,18 +78,40 @@ def spec_types(catalog: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SpecLookup:
-    """Join side of `resolve_specs`: every spec, plus each source's latest under a NULL version.
+    """What `resolve_specs` joins and what normalization takes from the joined spec.
 
-    ``data_paths``, ``scalar_paths`` hold the compiled paths of a catalog small enough
-    to be part of the plan; they are empty for a larger one, which takes its paths
-    from the joined row instead.
+    ``table`` holds every spec, plus each source's latest under a NULL version. ``data``
+    is the expression for all data fields over the columns it adds and ``_payload``.
+    ``scalar_paths`` holds the compiled paths of a catalog small enough to be part of the
+    plan; it is empty for a larger one, which takes its paths from the joined row.
     """
 
     table: DataFrame
-    data_paths: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
+    data: Column
     scalar_paths: dict[str, list[str]] = field(default_factory=dict)
 
 
+def extract_fields(paths_by_spec: Mapping[tuple[str, str], Mapping[str, str]]) -> Column:
+    """Every data key of a row's spec with the value at its path, NULL where there is none.
+
+    Specs given here get literal paths, others take theirs from the row.
+    """
+    body = F.col("_payload")
+    values = F.transform_values("_data_paths", lambda _, path: value_at(body, path))
+    if paths_by_spec:
+        branches = F
+        for (source, version), paths in paths_by_spec.items():
+            pairs = [
+                part
+                for key, path in paths.items()
+                for part in (F.lit(key), F.try_variant_get(body, path, "variant"))
+            ]
+            fields = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,variant>")
+            branches = branches.when((F.col("source") == source) & (F.col("version") == version), fields)
+        values = branches.otherwise(values)
+    return F.transform_values(values, lambda _, value: without_null(value))
+
+
 # Catalogs with more data fields than this keep their paths out of the plan.
 MAX_PLANNED_FIELDS = 1500
 
@@ -147,13 +169,13 @@ def compile_lookup(
     )
     local = localize_if_small(table, max_bytes)
     if local is None:
-        return SpecLookup(table)
+        return SpecLookup(table, extract_fields({}))
     columns = ["_spec_source", "version", "_data_paths", *SCALAR_PATHS]
     rows = local.where("_match_version is not null").select(*columns).collect()
     if sum(len(r["_data_paths"] or {}) for r in rows) > max_planned_fields:
-        return SpecLookup(F.broadcast(local))
+        return SpecLookup(F.broadcast(local), extract_fields({}))
     return SpecLookup(
         F.broadcast(local),
-        {(r["_spec_source"], r["version"]): r["_data_paths"] or {} for r in rows},
+        extract_fields({(r["_spec_source"], r["version"]): r["_data_paths"] or {} for r in rows}),
         {name: sorted({r[name] for r in rows if r[name]}) for name in SCALAR_PATHS},
     )

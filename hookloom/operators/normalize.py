@@ -62,29 +62,11 @@ def signature_reason() -> Column:
     )
 
 
-def event_type(body_value: Column) -> Column:
-    """Canonical type: header or body value through the spec's mapping, else passed on."""
-    provider_type = F.when(
-        F.col("_type_header") != "", rq.header_value(F.col("headers"), F.col("_type_header"))
-    ).otherwise(F.coalesce(pl.scalar_text(body_value, general=True), F.lit("")))
-    return F.coalesce(F.try_element_at("_type_mapping", provider_type), provider_type)
-
-
-def extract_fields(payload: Column, lookup: SpecLookup) -> Column:
-    """Every data key of the spec with the value at its path, NULL where there is none."""
-    values = F.transform_values("_data_paths", lambda _, path: pl.value_at(payload, path))
-    if lookup.data_paths:
-        branches = F
-        for (source, version), paths in lookup.data_paths.items():
-            pairs = [
-                part
-                for key, path in paths.items()
-                for part in (F.lit(key), F.try_variant_get(payload, path, "variant"))
-            ]
-            fields = F.create_map(*pairs).cast("map<string,variant>")
-            branches = branches.when((F.col("source") == source) & (F.col("version") == version), fields)
-        values = branches.otherwise(values)
-    return F.transform_values(values, lambda _, value: pl.without_null(value))
+def provider_type() -> Column:
+    """Event type as the provider names it, from a header or the body; '' when missing."""
+    from_body = pl.scalar_text(F.col("_type"), F.col("_type_kind"), general=True)
+    from_header = rq.header_value(F.col("headers"), F.col("_type_header"))
+    return F.coalesce(F.when(F.col("_type_header") != "", from_header).otherwise(from_body), F.lit(""))
 
 
 def classify_requests(
@@ -113,18 +95,29 @@ def classify_requests(
     ).drop("_envelope", "_text")
 
     body = F.col("_payload")
+    fields = ("_type", "_external", "_timestamp")
     r = computed_once(r, **{
         name: pl.value_at(body, F.col(f"{name}_path"), lookup.scalar_paths.get(f"{name}_path", ()))
-        for name in ("_type", "_external", "_timestamp")
+        for name in fields
     })
+    r = computed_once(r, **{f"{name}_kind": F.schema_of_variant(name) for name in fields})
+    when = F.col("_timestamp")
+    r = r.withColumns({
+        "_provider_type": F.when(F.col("_strict"), provider_type()),
+        "external_id": F.when(F.col("_strict"), F.coalesce(
+            pl.scalar_text(F.col("_external"), F.col("_external_kind")), F.lit("")
+        )),
+    })
+    r = computed_once(
+        r, _time_text=F.when(F.col("_timestamp_kind") == "STRING", F.try_variant_get(when, "$", "string"))
+    )
+    # Small steps keep every generated method below the size the JVM compiles.
     r = computed_once(
         r,
-        _mapped_type=F.when(F.col("_strict"), event_type(F.col("_type"))),
-        external_id=F.when(
-            F.col("_strict"), F.coalesce(pl.scalar_text(F.col("_external")), F.lit(""))
-        ),
-        _micros=instants.instant_micros(F.col("_timestamp")),
+        _calendar=instants.calendar_micros(F.col("_time_text")),
+        _epoch=instants.epoch_number(when, F.col("_timestamp_kind"), F.col("_time_text")),
     )
+    r = computed_once(r, _micros=F.coalesce("_calendar", instants.epoch_micros(F.col("_epoch"))))
     outcome = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col("_signature").isNotNull(), "invalid_signature")
@@ -137,12 +130,12 @@ def classify_requests(
         rq.derived_event_id(F.col("request_id")).alias("id"),
         "source",
         "version",
-        F.col("_mapped_type").alias("type"),
+        F.coalesce(F.try_element_at("_type_mapping", F.col("_provider_type")), "_provider_type").alias("type"),
         "external_id",
         F.when(F.col("_strict"), F.coalesce(
             F.timestamp_micros(F.when(writable, F.col("_micros"))), "received_at"
         )).alias("timestamp"),
-        F.when(F.col("_strict"), extract_fields(body, lookup)).alias("data"),
+        F.when(F.col("_strict"), lookup.data).alias("data"),
         F.when(~F.col("_redact_raw"), body).alias("raw"),
         "request_id",
         "received_at",

@@ -13,8 +13,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from hookloom.operators.dedupe import DAY, EVENT_KEYS, has_key
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Rows that need no state are spread over this many groups.
-SPREAD = 1024
 
 
 def stream_settings(spark, bounded: bool = False) -> None:
@@ -27,34 +25,37 @@ def stream_settings(spark, bounded: bool = False) -> None:
 class ClaimProcessor(StatefulProcessor):
     """Accepts the first arrival of a key and forgets the key when its TTL has run out."""
 
-    def __init__(self, ttl_seconds: float, time: str, row_id: str) -> None:
+    def __init__(self, ttl_seconds: float, columns: list[str], time: str, row_id: str) -> None:
         self.ttl_ms = int(ttl_seconds * 1000)
-        self.time, self.row_id = time, row_id
+        self.columns, self.time, self.row_id = columns, time, row_id
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "claimed boolean", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        # Names that are no Python identifiers arrive replaced.
+        batches = (batch.set_axis(self.columns, axis=1) for batch in rows)
         if key[-1] != 0:
             # Never a claim: without a key, or later than another row of the same batch.
-            for batch in rows:
-                yield batch.assign(accepted=batch["_keyless"]).drop(columns=["_spread", "_keyless"])
+            for batch in batches:
+                yield self.marked(batch, batch["_keyless"])
             return
-        # State is written only when absent, so a repeat does not extend the claim.
+        # At most one row per Arrow batch comes here. State is written only when absent,
+        # so a repeat does not extend the claim.
         claimed = self.seen.exists()
-        batches = list(rows)
-        batch = pd.concat(batches) if len(batches) > 1 else batches[0]
-        batch = batch.sort_values([self.time, self.row_id])
-        accepted = [not claimed] + [False] * (len(batch) - 1)
+        batch = pd.concat(list(batches)).sort_values([self.time, self.row_id])
         if not claimed:
             self.seen.update((True,))
-        yield batch.assign(accepted=accepted).drop(columns=["_spread", "_keyless"])
+        yield self.marked(batch, [not claimed] + [False] * (len(batch) - 1))
+
+    def marked(self, batch: pd.DataFrame, accepted) -> pd.DataFrame:
+        return batch.assign(accepted=accepted).drop(columns=["_spread", "_keyless"])
 
     def close(self) -> None:
         pass
 
 
-def _first_per_key(keys: Sequence[str], time: str, row_id: str):
+def _first_per_key(keys: Sequence[str], time: str, row_id: str, spread: int):
     """Give rows that are not the first of their key in an Arrow batch a spread group.
 
     All rows of a micro-batch arrive at one instant of the processing clock, so at most
@@ -64,8 +65,8 @@ def _first_per_key(keys: Sequence[str], time: str, row_id: str):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.sort_values([time, row_id], kind="stable")
-            later = batch.duplicated(list(keys)) | batch["_keyless"]
-            slots = pd.util.hash_array(batch[row_id].astype(str).to_numpy()) % SPREAD
+            later = batch.duplicated(keys) | batch["_keyless"]
+            slots = pd.util.hash_array(batch[row_id].astype(str).to_numpy()) % spread
             yield batch.assign(_spread=(slots.astype("int64") + 1).astype("int32") * later.astype("int32"))
 
     return mark
@@ -89,14 +90,17 @@ def dedupe_ttl_stream(
     for name in variants + maps:
         flat = flat.withColumn(name, F.to_json(name))
     flat = flat.withColumn("_keyless", ~has_key(flat, keys))
-    spread = T.StructType([*flat.schema.fields, T.StructField("_spread", T.IntegerType())])
-    grouped = flat.mapInPandas(_first_per_key(keys, time, row_id), spread).groupBy(*keys, "_spread")
+    schema = T.StructType([*flat.schema.fields, T.StructField("_spread", T.IntegerType())])
+    # Rows that need no state go to as many groups as there are shuffle partitions.
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = _first_per_key(list(keys), time, row_id, spread)
+    grouped = flat.mapInPandas(first, schema).groupBy(*keys, "_spread")
     output = T.StructType([
         *[f for f in flat.schema.fields if f.name != "_keyless"],
         T.StructField("accepted", T.BooleanType()),
     ])
     marked = grouped.transformWithStateInPandas(
-        statefulProcessor=ClaimProcessor(ttl_seconds, time, row_id),
+        statefulProcessor=ClaimProcessor(ttl_seconds, schema.names, time, row_id),
         outputStructType=output,
         outputMode="Append",
         timeMode="ProcessingTime",

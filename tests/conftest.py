@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from hookloom.operators.catalog import compile_lookup
 from hookloom.session import configure
+from hookloom.sources.catalog import load_spec_catalog
 
 
 def local_session() -> SparkSession:
@@ -24,3 +26,13 @@ def spark():
     session = local_session()
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def catalog(spark):
+    return load_spec_catalog(spark).cache()
+
+
+@pytest.fixture(scope="session")
+def lookup(catalog):
+    return compile_lookup(catalog)

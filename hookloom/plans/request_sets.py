@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hookloom.functions.requests import hmac_pads, hmac_sha256
 from hookloom.schemas import REQUESTS
+from hookloom.session import spread_if_few
 
 SIGNING_SECRET_NAME = "MAIL_WEBHOOK_SECRET"
 SIGNING_SECRET = "a-secret-for-test-data"
@@ -29,6 +30,7 @@ def _requests(
     rows: DataFrame, request_id: Column, source: Column | str, body: Column, received_at: Column,
     headers: Column | None = None, query_version: Column | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
+    rows = spread_if_few(rows)
     no_headers = F.lit(None).cast("map<string,string>")
     return rows.select(
         request_id.cast("string").alias("request_id"),

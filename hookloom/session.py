@@ -53,6 +53,16 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when their scan has fewer partitions than that.
+
+    Parsing is bound by CPU, and a handful of small files would leave most cores idle.
+    A table of many files is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def localize_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
     """``df`` as a local table when its measured size is under ``limit``, else None."""
     size = df.select(

@@ -63,6 +63,8 @@ def newest_per_group(
 ) -> DataFrame:
     """The ``n`` newest rows of each group, oldest dropped first; ties go by ``row_id``.
 
+    Without a ``group`` the whole table is one.
+
     A group may hold a large share of all rows, so no task sees a whole group: row
     counts per time grain, combined before their shuffle, tell in which grain the n-th
     newest row lies. Only that grain is ranked, first spread over ``salts`` parts. Rows
@@ -93,9 +95,12 @@ def newest_per_group(
         .select(*group, F.struct("_t", "_id").alias("_cutoff"))
     )
     # Groups with fewer rows than n have no cutoff and are kept whole.
+    this_row = F.struct(F.col(time).alias("_t"), F.col(row_id).alias("_id"))
+    if not group:
+        newest = cutoff.select("_cutoff").scalar()
+        return df.filter(newest.isNull() | (this_row >= newest))
     kept = df.join(cutoff, group, "left").filter(
-        F.col("_cutoff").isNull()
-        | (F.struct(F.col(time).alias("_t"), F.col(row_id).alias("_id")) >= F.col("_cutoff"))
+        F.col("_cutoff").isNull() | (this_row >= F.col("_cutoff"))
     )
     return kept.select(*df.columns)
 
@@ -107,8 +112,7 @@ def trim_events(events: DataFrame, n: int = EVENTS_PER_SOURCE, **options) -> Dat
 
 def trim_table(df: DataFrame, n: int, time: str, row_id: str, **options) -> DataFrame:
     """The ``n`` newest rows of a whole table, such as the queue or the dead letters."""
-    whole = df.withColumn("_all", F.lit(0))
-    return newest_per_group(whole, n, ("_all",), time, row_id, **options).drop("_all")
+    return newest_per_group(df, n, (), time, row_id, **options)
 
 
 def parse_stored(entries: DataFrame, column: str = "event") -> DataFrame:

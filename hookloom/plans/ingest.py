@@ -56,6 +56,7 @@ def ingest(
     max_body: int = MAX_BODY_BYTES,
     hot_rows: int = HOT_ROWS,
     staged: bool = True,
+    stage_dir: str | None = None,
 ) -> Ingested:
     """Classify, normalize and deduplicate a batch.
 
@@ -63,17 +64,18 @@ def ingest(
     it filtered to those. With ``staged``, normalized rows and the ids of duplicates are
     written once to the session's shared folder: bodies are then parsed a single time and
     the passes over keys read just their columns. Without it the plan stays lazy and
-    repeats the parse per pass.
+    repeats the parse per pass. A ``stage_dir`` is used instead, and overwritten, so that
+    repeated batches keep one staged copy; results must be written before the next batch.
     """
     classified = classify_requests(requests, lookup, max_body)
     if staged:
-        classified = stage_table(classified, "classified")
+        classified = stage_table(classified, "classified", stage_dir and f"{stage_dir}/classified")
     candidates = classified.filter(F.col("outcome") == "accepted")
     duplicates = ttl_duplicates(
         candidates, keys, ttl_seconds, history=history, hot_rows=hot_rows
     )
     if staged:
-        duplicates = stage_table(duplicates, "duplicates")
+        duplicates = stage_table(duplicates, "duplicates", stage_dir and f"{stage_dir}/duplicates")
     marked = mark_duplicates(classified, duplicates)
     final = F.when(~F.col("accepted"), "duplicate").otherwise(F.col("outcome"))
     events = candidates.join(duplicates, "request_id", "left_anti").select(*EVENT_COLUMNS)

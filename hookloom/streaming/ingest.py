@@ -42,7 +42,9 @@ def ingest_batches(
             oldest = batch.agg(F.min(F.unix_micros("received_at"))).first()[0] or 0
             alive = F.col("received_at") > F.timestamp_micros(F.lit(oldest - int(ttl_seconds * 1e6)))
             history = history.filter((F.col("batch_id") != batch_id) & alive)
-        result = ingest(batch, lookup, history, ttl_seconds, max_body=max_body)
+        result = ingest(
+            batch, lookup, history, ttl_seconds, max_body=max_body, stage_dir=f"{out}/staged"
+        )
         write_outcomes(result.outcomes, f"{out}/outcomes", batch_id)
         write_dead_letters(result.dead_letters, f"{out}/dead_letters", batch_id)
         write_events(result.events, events_path, batch_id)

@@ -7,12 +7,16 @@ same results from base columns, without our JSON, where SQL can.
 from __future__ import annotations
 
 import functools
+import sys
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from hookloom.operators import catalog as cat
 from hookloom.operators import dedupe as dd
 from hookloom.operators import metrics as mt
@@ -368,11 +372,11 @@ def backlog(spark: SparkSession, sf: str) -> DataFrame:
 # --- retries and dead letters --------------------------------------------------------
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.plan_retries(rt.attempt_counts(rs.failures(spark, sf), window_seconds=6 * 3600), max_retries=3)
+    return rt.plan_retries(rt.attempt_counts(rs.failures(spark, sf), window_seconds=48 * 3600), max_retries=3)
 
 
 def attempt_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rt.attempt_counts(rs.failures(spark, sf), window_seconds=6 * 3600)
+    rows = rt.attempt_counts(rs.failures(spark, sf), window_seconds=48 * 3600)
     return rows.select("message_id", "attempts", ntz("failed_at"), "source", "error")
 
 

@@ -136,7 +136,7 @@ def classify_requests(
             F.timestamp_micros(F.when(writable, F.col("_micros"))), "received_at"
         )).alias("timestamp"),
         F.when(F.col("_strict"), lookup.data).alias("data"),
-        F.when(~F.col("_redact_raw"), body).alias("raw"),
+        F.when(~F.col("_redact_raw"), pl.without_null(body)).alias("raw"),
         "request_id",
         "received_at",
         "headers",

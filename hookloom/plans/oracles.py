@@ -85,7 +85,7 @@ SPECS = """SELECT o.*, CASE WHEN o_orderkey % 101 = 7 THEN '' ELSE 'shop-' || o_
 SIGNED = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'missing signature header'
   WHEN event_id % 5 = 0 THEN 'signature mismatch' END AS reason FROM events"""
 
-ATTEMPTS = f"""{claims("SELECT user_id AS k, ts AS t FROM events", 21600)},
+ATTEMPTS = f"""{claims("SELECT user_id AS k, ts AS t FROM events", 172800)},
   last_start AS (SELECT k, max(t) AS t FROM claims GROUP BY k),
   attempts AS (
     SELECT 'msg-' || e.user_id AS message_id, count(*) AS attempts, max(ts) AS failed_at,

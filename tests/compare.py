@@ -14,6 +14,11 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -39,12 +44,16 @@ def compare(spark, con, query, sql: str | None, sf_dir: str) -> str:
     """'' when both sides agree, else what differs."""
     df = query(spark, sf_dir)
     got = normalized(df.columns, df.collect())
+    types = dict(df.dtypes)
     if sql is None:
         return "" if got else "no rows"
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    for name, kind, *_ in result.description:
+        if TYPES[types[name]] != str(kind):
+            return f"{name} is {types[name]}, not {kind}"
     want = normalized(names, result.fetchall())
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"

@@ -89,6 +89,8 @@ def check_providers(spark, lookup):
         assert {k: got[k] for k in data} == data
         if isinstance(body, dict):
             assert json.loads(row["raw"]) == body
+        else:
+            assert row["raw"] is None
 
 
 def test_every_provider(spark, lookup):

@@ -43,6 +43,33 @@ def whole_runs(batches: Batches, columns: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
+def follow_claims(times: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, ttl_us: int) -> np.ndarray:
+    """Mark the claims of several keys at once, from each key's first claim in ``rows``.
+
+    Rows of key k are ``starts[k]:ends[k]``, sorted by time; a first claim at its end
+    means none. Keys are laid out one after another on a single time line, so that one
+    search finds the next claim of all of them.
+    """
+    base, width = int(times.min()), int(times.max()) - int(times.min()) + ttl_us + 1
+    claimed = np.zeros(len(times), dtype=bool)
+    if len(starts) > 1 and len(starts) * width >= 2**62:
+        for start, end, row in zip(starts, ends, rows):
+            one = slice(start, end)
+            claimed[one] = follow_claims(
+                times[one], np.array([0]), np.array([end - start]), np.array([row - start]), ttl_us
+            )
+        return claimed
+    line = times
+    if len(starts) > 1:
+        line = times - base + np.repeat(np.arange(len(starts)) * width, ends - starts)
+    while len(rows):
+        alive = rows < ends
+        rows, ends = rows[alive], ends[alive]
+        claimed[rows] = True
+        rows = np.searchsorted(line, line[rows] + ttl_us)
+    return claimed
+
+
 def claim_marker(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
     """Mark claims in rows sorted by key and time. Memory use is one batch."""
 
@@ -52,19 +79,16 @@ def claim_marker(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
             if not len(batch):
                 continue
             times = batch["us"].to_numpy()
-            claimed = np.zeros(len(batch), dtype=bool)
             starts = key_starts(batch, keys)
-            columns = [batch[k].to_numpy() for k in keys]
-            for start, end in zip(starts, [*starts[1:], len(batch)]):
-                key = tuple(c[start] for c in columns)
-                row = start
-                if key == last_key:
-                    row = start + np.searchsorted(times[start:end], free_from)
-                while row < end:
-                    claimed[row] = True
-                    free_from = times[row] + ttl_us
-                    row += 1 + np.searchsorted(times[row + 1:end], free_from)
-                last_key = key
+            ends = np.append(starts[1:], len(batch))
+            rows = starts.copy()
+            if tuple(batch[k].iloc[0] for k in keys) == last_key:
+                rows[0] = np.searchsorted(times[:ends[0]], free_from)
+            claimed = follow_claims(times, starts, ends, rows, ttl_us)
+            of_last = np.flatnonzero(claimed[starts[-1]:])
+            if len(of_last):
+                free_from = times[starts[-1] + of_last[-1]] + ttl_us
+            last_key = tuple(batch[k].iloc[-1] for k in keys)
             yield pd.DataFrame({"request_id": batch["request_id"], "claimed": claimed})
 
     return mark

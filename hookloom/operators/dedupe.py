@@ -18,7 +18,7 @@ The ids of duplicates, usually few, are then joined to the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +76,15 @@ def ttl_duplicates(
     row_id: str = "request_id",
     history: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ids of the rows that are duplicates, as `request_id`.
 
     ``row_id`` must be unique; it also breaks ties of time. ``history`` holds rows
     accepted by earlier runs. ``rows`` is read more than once, with only its keys, time
-    and id: give it a written table when it is costly to compute.
+    and id: give it a written table when it is costly to compute. ``stage`` writes a table
+    and reads it back; with it the rows of repeated keys are found once, not once for each
+    way of deciding them.
     """
     keys = list(keys)
     ttl_us = int(ttl_seconds * 1_000_000)
@@ -104,21 +107,27 @@ def ttl_duplicates(
         .filter("n > 1")
     )
     single_claim = F.col("last_us") < F.col("first.us") + ttl_us
-    # A hot key's side of these joins is split by adaptive execution.
+    # A hot key's side of this join is split by adaptive execution.
+    routed = slim.join(
+        repeated.select(*keys, "n", "first", single_claim.alias("single_claim")), keys
+    )
+    if stage is not None:
+        routed = stage(routed)
     found.append(
-        slim.join(repeated.filter(single_claim).select(*keys, "first"), keys)
-        .filter(F.col("request_id") != F.col("first.request_id"))
+        routed.filter(F.col("single_claim") & (F.col("request_id") != F.col("first.request_id")))
         .select("request_id")
     )
-    walked = slim.join(repeated.filter(~single_claim).select(*keys, "n"), keys)
+    walked = routed.filter(~F.col("single_claim"))
+    row = [*keys, "us", "request_id"]
     found.append(
-        _claims(walked.filter(F.col("n") <= hot_rows).drop("n"), keys, ttl_us)
+        _claims(walked.filter(F.col("n") <= hot_rows).select(*row), keys, ttl_us)
         .filter(~F.col("claimed"))
         .select("request_id")
     )
-    hot = walked.filter(F.col("n") > hot_rows).drop("n")
-    hot_claims = _claims(_thinned(hot, keys, ttl_us), keys, ttl_us).filter("claimed")
-    found.append(hot.join(hot_claims, "request_id", "left_anti").select("request_id"))
+    hot = walked.filter(F.col("n") > hot_rows).select(*row)
+    if stage is None or not hot.isEmpty():
+        hot_claims = _claims(_thinned(hot, keys, ttl_us), keys, ttl_us).filter("claimed")
+        found.append(hot.join(hot_claims, "request_id", "left_anti").select("request_id"))
 
     duplicates = found[0]
     for more in found[1:]:

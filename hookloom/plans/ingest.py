@@ -67,15 +67,16 @@ def ingest(
     repeats the parse per pass. A ``stage_dir`` is used instead, and overwritten, so that
     repeated batches keep one staged copy; results must be written before the next batch.
     """
-    classified = classify_requests(requests, lookup, max_body)
-    if staged:
-        classified = stage_table(classified, "classified", stage_dir and f"{stage_dir}/classified")
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        return stage_table(df, name, stage_dir and f"{stage_dir}/{name}") if staged else df
+
+    classified = stage(classify_requests(requests, lookup, max_body), "classified")
     candidates = classified.filter(F.col("outcome") == "accepted")
     duplicates = ttl_duplicates(
-        candidates, keys, ttl_seconds, history=history, hot_rows=hot_rows
+        candidates, keys, ttl_seconds, history=history, hot_rows=hot_rows,
+        stage=(lambda df: stage(df, "repeated")) if staged else None,
     )
-    if staged:
-        duplicates = stage_table(duplicates, "duplicates", stage_dir and f"{stage_dir}/duplicates")
+    duplicates = stage(duplicates, "duplicates")
     marked = mark_duplicates(classified, duplicates)
     final = F.when(~F.col("accepted"), "duplicate").otherwise(F.col("outcome"))
     events = candidates.join(duplicates, "request_id", "left_anti").select(*EVENT_COLUMNS)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hookloom.functions.claims import follow_claims
 from hookloom.operators import dedupe as dd
+from hookloom.session import stage_table
 
 ROWS = "external_id string, seconds long, request_id string"
 
@@ -77,6 +80,24 @@ def test_hot_key_in_slices(sliced, span, ttl):
     assert got == by_rule(rows, ttl)
 
 
+@pytest.mark.parametrize("hot_rows", [100, 10**6])
+def test_staged_rows_give_the_same(sliced, hot_rows):
+    rows = [("hot" if i % 3 else f"k{i % 50}", (i * 7919) % 50_000, f"r{i:05d}") for i in range(2000)]
+    got = accepted_ids(dd.dedupe_ttl(
+        table(sliced, rows), ttl_seconds=1000, hot_rows=hot_rows, stage=lambda df: stage_table(df, "test")
+    ))
+    assert got == by_rule(rows, 1000)
+
+
+def test_claims_of_keys_far_apart_in_time():
+    """Spans too wide for one time line are followed key by key."""
+    times = np.array([-(2**61), 0, 2**61, -(2**61), 5, 2**61 + 1])
+    starts, ends = np.array([0, 3]), np.array([3, 6])
+    claimed = follow_claims(times, starts, ends, starts.copy(), 2**60)
+    assert claimed.tolist() == [True] * 6
+    assert follow_claims(times, starts, ends, np.array([3, 4]), 2**62).tolist() == [False] * 4 + [True, False]
+
+
 @pytest.mark.parametrize("span, ttl", [(20_000, 2_000), (2_000_000, 2_000)])
 def test_thinning_drops_most_of_a_hot_key(sliced, span, ttl):
     """Many rows per TTL are thinned by offset, many TTLs by time."""

@@ -7,6 +7,8 @@ same results from base columns, without our JSON, where SQL can.
 from __future__ import annotations
 
 import functools
+import importlib
+import importlib.util
 import sys
 import uuid
 from collections.abc import Callable
@@ -512,11 +514,25 @@ def _configured(query: Query) -> Query:
     return run
 
 
+def _corpus_part(name: str):
+    """A module of the corpus operators, or None where that part is not installed."""
+    if importlib.util.find_spec("hookloom.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    return importlib.import_module(name)
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: _configured(query) for query in _QUERIES}
+    own = {query.__name__: _configured(query) for query in _QUERIES}
+    if corpus := _corpus_part("hookloom.llm.queries"):
+        own |= {name: _configured(query) for name, query in corpus.queries().items()}
+        own["pipeline"] = _configured(importlib.import_module("corpus_pipeline").run)
+    return own
 
 
 def oracle_sql() -> dict[str, str]:
     from hookloom.plans.oracles import ORACLES
 
-    return dict(ORACLES)
+    own = dict(ORACLES)
+    if corpus := _corpus_part("hookloom.llm.queries"):
+        own |= corpus.oracle_sql()
+    return own

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import quality
+from hookloom.llm import quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,7 +17,11 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf, "documents"))
 
 
-_QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op5_quality_rules,)
+def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.simhash_report(_table(spark, sf, "documents"))
+
+
+_QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op5_quality_rules, op7_simhash_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

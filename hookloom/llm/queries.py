@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, quality, simhash
+from hookloom.llm import decontaminate, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,12 +21,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_report(_table(spark, sf, "documents"))
 
 
+def op8_soft_membership_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixing_report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op5_quality_rules, op7_simhash_near_dedup, op10_benchmark_decontamination,
+    op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing, op10_benchmark_decontamination,
 )
 
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, mixing, quality, simhash
+from hookloom.llm import decontaminate, mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharding_report(_table(spark, sf, "documents"), shards=8)
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf, "documents"))
 
@@ -30,7 +34,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing, op10_benchmark_decontamination,
+    op1_sharding, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing, op10_benchmark_decontamination,
 )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, mixing, quality, sharding, simhash
+from hookloom.llm import decontaminate, licences, mixing, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.sharding_report(_table(spark, sf, "documents"), shards=8)
 
 
+def op2_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf, "documents"))
 
@@ -29,12 +33,17 @@ def op8_soft_membership_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixing_report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op9_licence_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licence_report(_table(spark, sf, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_sharding, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing, op10_benchmark_decontamination,
+    op1_sharding, op2_url_filters, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing,
+    op9_licence_scans, op10_benchmark_decontamination,
 )
 
 
@@ -43,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": urls.OP2_SQL, "op9_licence_scans": licences.OP9_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, licences, mixing, pii, quality, sharding, simhash, urls
+from hookloom.llm import decontaminate, html, licences, mixing, pii, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf, "pages"))
 
 
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.html_report(_table(spark, sf, "pages"))
+
+
 def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf, "documents"))
 
@@ -46,7 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_sharding, op2_url_filters, op4_personal_data, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing,
+    op1_sharding, op2_url_filters, op3_html_extraction, op4_personal_data, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing,
     op9_licence_scans, op10_benchmark_decontamination,
 )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, html, licences, mixing, pii, quality, sharding, simhash, urls
+from hookloom.llm import decontaminate, html, licences, mixing, pii, quality, sharding, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf, "documents"))
 
 
+def op6_warc_capture_index(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.warc_report(_table(spark, sf, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_report(_table(spark, sf, "documents"))
 
@@ -50,8 +54,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_sharding, op2_url_filters, op3_html_extraction, op4_personal_data, op5_quality_rules, op7_simhash_near_dedup, op8_soft_membership_mixing,
-    op9_licence_scans, op10_benchmark_decontamination,
+    op1_sharding, op2_url_filters, op3_html_extraction, op4_personal_data, op5_quality_rules,
+    op6_warc_capture_index, op7_simhash_near_dedup, op8_soft_membership_mixing, op9_licence_scans, op10_benchmark_decontamination,
 )
 
 

@@ -53,31 +53,41 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 
 
 def level(vectors: np.ndarray, chosen: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
-    """Swap units of equal rows between the shards with most and fewest bytes while that helps."""
+    """Swap units of equal rows between fuller shards and the emptiest while that levels the bytes.
+
+    Of the swaps that close most of the gap, the one that moves fewest tokens is taken.
+    """
     chosen = chosen.copy()
-    size, rows = vectors[:, 0], vectors[:, 2]
+    size, tokens, rows = vectors.T
     for _ in range(rounds):
         loads = np.bincount(chosen, weights=size, minlength=shards)
-        high, low = int(loads.argmax()), int(loads.argmin())
-        gap = loads[high] - loads[low]
-        best = None
-        for count in np.unique(rows[chosen == high]):
-            ours = np.flatnonzero((chosen == high) & (rows == count))
-            theirs = np.flatnonzero((chosen == low) & (rows == count))
-            if not len(theirs):
-                continue
-            theirs = theirs[np.argsort(size[theirs], kind="stable")]
-            near = np.searchsorted(size[theirs], size[ours] - gap / 2)
-            for shift in (-1, 0):
-                other = theirs[np.clip(near + shift, 0, len(theirs) - 1)]
-                moved = size[ours] - size[other]
-                left = np.where((moved > 0) & (moved < gap), np.abs(gap - 2 * moved), np.inf)
-                at = int(left.argmin())
-                if np.isfinite(left[at]) and (best is None or left[at] < best[0]):
-                    best = (left[at], ours[at], other[at])
-        if best is None or gap < 2:
+        low = int(loads.argmin())
+        swap = None
+        for high in np.argsort(-loads, kind="stable"):
+            gap = loads[high] - loads[low]
+            if gap < 2 or swap is not None:
+                break
+            options = []
+            for count in np.unique(rows[chosen == high]):
+                ours = np.flatnonzero((chosen == high) & (rows == count))
+                theirs = np.flatnonzero((chosen == low) & (rows == count))
+                if not len(theirs):
+                    continue
+                theirs = theirs[np.argsort(size[theirs], kind="stable")]
+                near = np.searchsorted(size[theirs], size[ours] - gap / 2)
+                for shift in (-1, 0):
+                    other = theirs[np.clip(near + shift, 0, len(theirs) - 1)]
+                    moved = size[ours] - size[other]
+                    left = np.where((moved > 0) & (moved < gap), np.abs(gap - 2 * moved) / gap, np.inf)
+                    options.append(np.stack([np.maximum(left, 0.1), np.abs(tokens[ours] - tokens[other]), ours, other]))
+            table = np.concatenate(options, axis=1) if options else np.empty((4, 0))
+            table = table[:, np.isfinite(table[0])]
+            if table.size:
+                best = np.lexsort((table[1], table[0]))[0]
+                swap = int(table[2, best]), int(table[3, best]), low, int(high)
+        if swap is None:
             break
-        chosen[best[1]], chosen[best[2]] = low, high
+        chosen[swap[0]], chosen[swap[1]] = swap[2], swap[3]
     return chosen
 
 

@@ -3,7 +3,8 @@
 A classifier trained on the label table gives every document posteriors over domains.
 Nonnegative document rates are then fitted by projected-gradient least squares so that the
 expected tokens per domain (rate x tokens x posterior, summed) match the target shares of
-all tokens, while rates stay near one. A document is written as many times as its rate
+all tokens, while rates stay near one and below ``max_rate``; targets that those bounds
+put out of reach are met as nearly as they allow. A document is written as many times as its rate
 says; the fraction is decided by a hash of the row, so reruns agree.
 
 Training uses at most ``train_rows`` labelled documents, those with the smallest hash of
@@ -38,8 +39,12 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 PRIOR_DOCS = 4.0
 CELLS = 32
-STEPS = 60
-NEARNESS = 1e-4
+STEPS = 80
+TOLERANCE = 1e-5
+NEARNESS = 1e-3
+RATE_STEP = 1 / (1 + NEARNESS)
+# No document is written more often than this, on average.
+MAX_RATE = 4.0
 MARKS = b"#*$%&|<>!"
 
 
@@ -157,53 +162,58 @@ def fit_softmax(inputs: np.ndarray, truth: np.ndarray, steps: int = 800, shrink:
     return now
 
 
-def replayed_rate(membership: Column, steps: list[list[float]]) -> Column:
-    """The rate of a posterior after the gradient steps, each projected to be nonnegative."""
+def replayed_rate(membership: Column, steps: list[list[float]], max_rate: float = MAX_RATE) -> Column:
+    """The rate of a posterior after the gradient steps, each projected into [0, ``max_rate``]."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*(F.array(*(F.lit(float(value)) for value in step)) for step in steps))
-    dot = [lambda step, j=j: membership[j] * step[j] for j in range(len(steps[0]))]
-    return F.aggregate(taken, F.lit(1.0), lambda rate, step: F.greatest(
-        F.lit(0.0), rate - sum((part(step) for part in dot[1:]), dot[0](step))
-    ))
 
+    def moved(rate: Column, step: Column) -> Column:
+        slope = F.lit(0.0)
+        for j in range(len(steps[0])):
+            slope = slope + membership[j] * step[j]
+        rate = rate - RATE_STEP * (slope + NEARNESS * (rate - 1))
+        return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate))
 
-def fit_rates(cells: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps that move all rates from one to the least-squares fit.
+    return F.aggregate(taken, F.lit(1.0), moved)
 
-    ``cells`` has ``membership`` (posteriors) and ``tokens``. A step is the gradient of half
-    the squared residual shares, scaled by the inverse of the domains' second moments.
+
+def fit_rates(cells: DataFrame, targets: list[float], max_rate: float = MAX_RATE) -> list[list[float]]:
+    """The gradient steps that move all rates from one to the least-squares fit.
+
+    ``cells`` has ``membership`` (posteriors) and ``tokens``. With w the share of a cell in
+    all tokens, the fit minimises half the sum over domains of (expected share - target)^2
+    / scale plus NEARNESS/2 times the sum of w (rate - 1)^2. The scale of a domain is its
+    share before or its target, whichever is larger, so no curvature exceeds one and a unit
+    step always descends. A step is the residuals over their scales.
     """
     k = len(targets)
-    weight = F.col("tokens")
     p = [F.col("membership")[j] for j in range(k)]
-    base = cells.agg(F.sum(weight).alias("all"), *(
-        F.sum(weight * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)
+    base = cells.agg(F.sum("tokens").alias("all"), *(
+        F.sum(F.col("tokens") * p[j]).alias(f"d{j}") for j in range(k)
     )).first()
     total = base["all"]
     if not total:
         return []
-    gram = np.array([[base[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / total
-    scale = np.linalg.inv(gram + NEARNESS * np.eye(k))
+    shares = np.array([base[f"d{j}"] / total for j in range(k)])
+    scale = np.maximum(np.maximum(shares, np.array(targets)), 1e-12)
     steps: list[list[float]] = []
-    last = np.inf
     for _ in range(STEPS):
-        rate = replayed_rate(F.col("membership"), steps)
+        residual = shares - np.array(targets)
+        steps.append((residual / scale).tolist())
+        rate = replayed_rate(F.col("membership"), steps, max_rate)
         reached = cells.select("tokens", "membership", rate.alias("rate")).agg(*(
-            F.sum(weight * F.col("rate") * p[j]).alias(f"d{j}") for j in range(k)
+            F.sum(F.col("tokens") * F.col("rate") * p[j]).alias(f"d{j}") for j in range(k)
         )).first()
-        residual = np.array([reached[f"d{j}"] / total for j in range(k)]) - np.array(targets)
-        size = float(np.abs(residual).max())
-        if size < 1e-6 or abs(last - size) < 1e-9:
+        before, shares = shares, np.array([reached[f"d{j}"] / total for j in range(k)])
+        if np.abs(shares - before).max() < TOLERANCE:
             break
-        last = size
-        steps.append((scale @ residual).tolist())
     return steps
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, carry: list[str], targets: dict[str, float] = TARGETS,
-    doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS,
+    doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, max_rate: float = MAX_RATE,
 ) -> DataFrame:
     """One row per document: ``row`` (the carried columns), ``id``, ``tokens``, ``posterior``,
     ``rate`` and ``copies``.
@@ -233,8 +243,8 @@ def mix(
     cells = stage_table(rows.groupBy("cell").agg(F.sum("tokens").alias("tokens")).select(
         membership_of("cell").alias("membership"), "tokens"
     ), "mixing-cells")
-    steps = fit_rates(cells, shares)
-    rows = rows.withColumn("rate", F.round(replayed_rate(membership_of("cell"), steps), 9))
+    steps = fit_rates(cells, shares, max_rate)
+    rows = rows.withColumn("rate", F.round(replayed_rate(membership_of("cell"), steps, max_rate), 9))
     whole = F.floor("rate")
     return rows.select(
         "row", "id", "tokens", "posterior", "rate",
@@ -257,7 +267,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents, each as often as its rate says, with their columns."""
-    mixed = mix(docs, labels, docs.columns)
+    mixed = mix(docs, labels, docs.columns, targets)
     return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

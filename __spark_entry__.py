@@ -115,6 +115,59 @@ def normalize_code_pages(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("timestamp", ntz("timestamp")).drop("id", "source")
 
 
+def _flat(spark: SparkSession, requests: DataFrame, fields: dict[str, str], *dropped: str) -> DataFrame:
+    flat = nm.flatten_events(nm.normalize_requests(requests, lookup(spark)), fields)
+    return flat.withColumn("timestamp", ntz("timestamp")).drop("id", "source", "version", *dropped)
+
+
+def normalize_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, rs.issue_requests(spark, sf), {
+        "summary": "string", "status": "string", "assignee": "string", "assignee_active": "boolean", "votes": "double",
+    })
+
+
+def normalize_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, rs.task_requests(spark, sf), {
+        "number": "bigint", "state": "string", "labels": "json", "estimate": "double", "resource_type": "string",
+    })
+
+
+def normalize_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, rs.incident_requests(spark, sf), {
+        "event_id": "string", "incident_number": "bigint", "service_name": "string",
+    })
+
+
+def normalize_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, rs.interaction_requests(spark, sf), {"command_name": "string", "username": "string"})
+
+
+def normalize_text_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, rs.text_message_requests(spark, sf), {
+        "from": "string", "body": "string", "num_media": "string",
+    })
+
+
+def normalize_repositories(spark: SparkSession, sf: str) -> DataFrame:
+    events = nm.normalize_requests(rs.repository_requests(spark, sf), lookup(spark))
+    flat = nm.flatten_events(events, {"compare": "string", "sender_id": "bigint"})
+    return flat.select("version", "type", "compare", "sender_id")
+
+
+def scalar_text_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and types that are numbers of all sizes."""
+    events = nm.normalize_requests(rs.scaled_value_requests(spark, sf), lookup(spark))
+    return events.select("external_id", "type")
+
+
+def merged_catalog_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog united with itself resolves each request once."""
+    specs = load_spec_catalog(spark)
+    known = cat.compile_lookup(cat.merge_catalogs(specs, specs))
+    events = nm.normalize_requests(rs.pay_requests(spark, sf), known)
+    return events.groupBy("source", "version").agg(F.count("*").alias("events"))
+
+
 def resolve_versions(spark: SparkSession, sf: str) -> DataFrame:
     resolved = nm.resolve_specs(rs.pay_requests(spark, sf), lookup(spark))
     return resolved.select("request_id", "source", "version")
@@ -230,6 +283,25 @@ def store_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def store_numeric_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that look like numbers keep their leading zeros."""
+    number = F.substring("external_id", 2, 20).cast("int") % 20
+    rows = rs.stored_events(spark, sf).withColumn("source", F.lpad(number.cast("string"), 3, "0"))
+    return _store(rows, sinks.write_events).groupBy("source").agg(F.count("*").alias("events"))
+
+
+def read_landed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests landed as a table and read again."""
+    from hookloom.sources.requests import read_requests
+
+    path = f"{shared_dir(spark).rstrip('/')}/hookloom/landed-{uuid.uuid4().hex}"
+    sinks.stage_requests(rs.text_requests(spark, sf).drop("doc_id"), path)
+    rows = read_requests(spark, path)
+    return rows.select(
+        "request_id", "source", F.octet_length("body").cast("long").alias("body_bytes"), ntz("received_at")
+    )
+
+
 def event_by_id(spark: SparkSession, sf: str) -> DataFrame:
     events = rs.stored_events(spark, sf).withColumn("id", F.col("external_id"))
     ids = rs.table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("id"))
@@ -411,6 +483,25 @@ def reprocess(spark: SparkSession, sf: str) -> DataFrame:
     return again.outcomes.select("request_id", "version", "type", "outcome")
 
 
+def reprocess_shop(spark: SparkSession, sf: str) -> DataFrame:
+    """Shop events, whose type comes from a header, failed until dead-lettered and ingested again."""
+    requests = rs.shop_requests(spark, sf)
+    events = nm.normalize_requests(requests, lookup(spark)).join(requests.select("request_id", "headers"), "request_id")
+    failed = events.select(
+        F.col("request_id").alias("message_id"), "source", "headers",
+        F.to_json(F.struct("request_id", "source", "version", "raw")).alias("payload"),
+        F.explode(F.array(*(F.lit(n) for n in range(3)))).alias("n"), "received_at",
+    ).select(
+        F.concat_ws("-", "message_id", "n").alias("failure_id"), "message_id", "source", "headers", "payload",
+        F.lit("store event").alias("error"), (F.col("received_at") + F.make_dt_interval(secs=F.col("n"))).alias("failed_at"),
+    )
+    plan = rt.plan_retries(rt.attempt_counts(failed), max_retries=3)
+    dead = rt.events_from_payload(rt.route_dead_letters(plan))
+    again = ingest(rt.dead_letters_as_requests(dead), lookup(spark), ttl_seconds=1)
+    marked = again.outcomes.select("request_id", "type", "outcome")
+    return marked.select(F.substring("request_id", 7, 30).alias("external_id"), "outcome", "type")
+
+
 # --- streams -----------------------------------------------------------------------
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -466,6 +557,24 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("external_id", "type", ntz("timestamp"))
 
 
+def stream_ingest_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents ingested as a stream; entries of the three tables it writes."""
+    from hookloom.sources.requests import stream_requests
+
+    base = f"{shared_dir(spark).rstrip('/')}/hookloom/ingest-{uuid.uuid4().hex}"
+    sinks.stage_requests(rs.bulk_requests(spark, sf).drop("doc_id"), f"{base}/requests")
+    query = si.ingest_batches(
+        stream_requests(spark, f"{base}/requests"), lookup(spark), base, f"{base}/checkpoint", once=True
+    )
+    query.awaitTermination()
+    outcome = {"outcomes": F.col("outcome"), "dead_letters": F.lit("unserializable"), "events": F.lit("accepted")}
+    tables = [
+        sinks.read_table(spark, f"{base}/{kind}").select(F.lit(kind).alias("kind"), value.alias("outcome"))
+        for kind, value in outcome.items()
+    ]
+    return tables[0].union(tables[1]).union(tables[2]).groupBy("kind", "outcome").agg(F.count("*").alias("entries"))
+
+
 def stream_retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     failures = _event_stream(spark, sf).select(
@@ -485,7 +594,9 @@ def stream_retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES: tuple[Query, ...] = (
     normalize_shop_orders, normalize_shop_line_items, normalize_mail_timestamps, normalize_pay_nested,
-    normalize_chat_messages, normalize_code_pages, resolve_versions, type_passthrough_counts,
+    normalize_chat_messages, normalize_code_pages, normalize_issues, normalize_tasks, normalize_incidents,
+    normalize_interactions, normalize_text_messages, normalize_repositories, scalar_text_forms, merged_catalog_lookup,
+    store_numeric_sources, read_landed_requests, reprocess_shop, stream_ingest_tables, resolve_versions, type_passthrough_counts,
     redact_raw_check, classify_outcomes, body_size_gate, json_gate, signature_gate,
     unserializable_dead_letters, dedupe_ttl_events, dedupe_ttl_hot_keys, dedupe_against_history,
     drop_already_seen, dedupe_empty_id_bypass, ingest_mail, ingest_mail_events, store_events,

@@ -129,24 +129,35 @@ def time_thinner(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
     """Drop rows no chain of claims can reach, within a slice of time.
 
     A chain enters a slice at some row of its first TTL; each claim is followed by the
-    first row one TTL later. Input is sorted by key and time.
+    first row one TTL later. Input is sorted by key and time. Memory is one batch and the
+    ends of the claims that reach beyond it.
     """
 
-    def reachable(times: np.ndarray) -> np.ndarray:
-        follow = np.searchsorted(times, times + ttl_us)
-        reached = times < times[0] + ttl_us
-        for row in range(len(times)):
-            if reached[row] and follow[row] < len(times):
-                reached[follow[row]] = True
-        return reached
-
     def thin(batches: Batches) -> Batches:
-        for batch in whole_runs(batches, keys):
+        last_key, entered_until, pending = None, 0, np.empty(0, dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            times = batch["us"].to_numpy()
+            keep = np.zeros(len(batch), dtype=bool)
             starts = key_starts(batch, keys)
-            keep = np.concatenate([
-                reachable(batch["us"].to_numpy()[start:end])
-                for start, end in zip(starts, [*starts[1:], len(batch)])
-            ])
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                here = times[start:end]
+                key = tuple(batch[k].iloc[start] for k in keys)
+                if key != last_key:
+                    last_key, entered_until, pending = key, here[0] + ttl_us, pending[:0]
+                reached = here < entered_until
+                # All chains step on together, each by a TTL at least.
+                ends, beyond = np.concatenate([pending, here[reached] + ttl_us]), []
+                while len(ends):
+                    follow = np.searchsorted(here, ends)
+                    beyond.append(ends[follow == len(here)])
+                    rows = np.unique(follow[follow < len(here)])
+                    rows = rows[~reached[rows]]
+                    reached[rows] = True
+                    ends = here[rows] + ttl_us
+                pending = np.unique(np.concatenate([pending[:0], *beyond]))
+                keep[start:end] = reached
             yield batch[keep]
 
     return thin

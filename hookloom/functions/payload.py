@@ -80,31 +80,54 @@ def bound(value: Column, result: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), result), F.lit(0))
 
 
-def plain_number(number: Column) -> Column:
-    """Shortest decimal digits of a double or decimal, without an exponent."""
-    text = F.coalesce(number.try_cast("decimal(38,18)").cast("string"), number.cast("string"))
-    return F.regexp_replace(text, r"(\.\d*[1-9])0+$|\.0+$", "$1")
-
-
-def with_exponent(plain: Column) -> Column:
-    """Decimal digits rewritten with an exponent of at least two digits."""
-    digits = F.regexp_replace(plain, r"^-?[0.]*|\.", "")
-    whole = F.length(F.regexp_extract(plain, r"^-?([1-9]\d*)", 1))
-    leading = F.length(F.regexp_extract(plain, r"^-?0\.(0*)", 1))
-    exponent = F.when(whole > 0, whole - 1).otherwise(-1 - leading)
-    return F.concat(
-        F.when(plain.startswith("-"), "-").otherwise(""),
-        F.regexp_replace(digits, r"^(\d)(\d)", "$1.$2"),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+def shortest_text(number: Column) -> Column:
+    """Text of a double with the fewest digits that give the same double again.
+
+    The text of the runtime may carry a digit or two too many, so fewer are tried first.
+    """
+    tried = [F.format_string(f"%.{digits}e", number) for digits in (14, 15)]
+    fitting = [F.when(text.try_cast("double") == number, F.upper(text)) for text in tried]
+    return F.coalesce(*fitting, number.cast("string"))
+
+
+def number_parts(text: Column) -> Column:
+    """Sign, significant digits and place of the point of a number's text.
+
+    The value is 0.digits times ten to the power of ``point``; zero has no digits.
+    """
+    mantissa = F.regexp_extract(text, r"^[-+]?([0-9.]+)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"E([-+]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.translate(mantissa, ".", "")
+    significant = F.regexp_replace(digits, "^0+", "")
+    return F.struct(
+        F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
+        F.regexp_replace(significant, "0+$", "").alias("digits"),
+        (F.length(F.regexp_extract(mantissa, "^[0-9]*", 0)) + power - F.length(digits) + F.length(significant))
+        .alias("point"),
     )
 
 
-def general_number(number: Column) -> Column:
-    """Like `plain_number`, but with an exponent below 1e-4 and from 1e6 on."""
-    size = F.abs(number.cast("double"))
-    plain = plain_number(number)
-    return F.when((size < 1e-4) | (size >= 1e6), bound(plain, with_exponent)).otherwise(plain)
+def plain_number(parts: Column) -> Column:
+    """Decimal digits without an exponent."""
+    digits, point = parts["digits"], parts["point"]
+    size = F.length(digits)
+    return F.when(size == 0, "0").otherwise(F.concat(
+        parts["sign"],
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.rpad(digits, point, "0"))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size))),
+    ))
+
+
+def general_number(parts: Column) -> Column:
+    """Like `plain_number`, but with an exponent of two digits or more below 1e-4 and from 1e6 on."""
+    digits, power = parts["digits"], parts["point"] - 1
+    exponent = F.concat(
+        parts["sign"], F.regexp_replace(digits, "^(.)(.)", "$1.$2"), F.when(power < 0, "e-").otherwise("e+"),
+        F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"),
+    )
+    small_or_large = (power < -4) | (power >= 6)
+    return F.when((F.length(digits) > 0) & small_or_large, exponent).otherwise(plain_number(parts))
 
 
 def scalar_text(value: Column, kind: Column, general: bool = False) -> Column:
@@ -113,21 +136,22 @@ def scalar_text(value: Column, kind: Column, general: bool = False) -> Column:
     ``kind`` is the variant's schema, computed before.
 
     Whole numbers print as digits. Other numbers print in plain decimal, or with
-    ``general`` the way a general float format does.
+    ``general`` the way a general float format does. No digit is ever dropped, so
+    different numbers have different texts.
     """
     as_double = F.try_variant_get(value, "$", "double")
-    as_decimal = F.try_variant_get(value, "$", "decimal(38,18)")
-    number = general_number if general else plain_number
     text = F.try_variant_get(value, "$", "string")
+    whole = as_double.try_cast("bigint")
+    number = general_number if general else plain_number
+
+    def decimal(parts: Column) -> Column:
+        is_whole = parts["point"] >= F.length(parts["digits"])
+        return F.when(is_whole, plain_number(parts)).otherwise(number(parts))
+
     return (
         F.when(kind.isin("STRING", "BIGINT", "BOOLEAN"), text)
-        .when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), text)
-        .when(
-            (kind == "DOUBLE") & (as_double.try_cast("bigint") == as_double),
-            as_double.try_cast("bigint").cast("string"),
-        )
-        .when(kind == "DOUBLE", number(as_double))
-        .when(kind.startswith("DECIMAL") & (as_decimal % 1 == 0), plain_number(as_decimal))
-        .when(kind.startswith("DECIMAL"), F.coalesce(number(as_decimal), number(as_double)))
+        .when((kind == "DOUBLE") & (whole == as_double), whole.cast("string"))
+        .when(kind == "DOUBLE", bound(number_parts(shortest_text(as_double)), number))
+        .when(kind.startswith("DECIMAL"), bound(number_parts(text), decimal))
         .when(kind != "VOID", F.to_json(value))
     )

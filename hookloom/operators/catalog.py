@@ -49,6 +49,15 @@ def validate_specs(catalog: DataFrame) -> DataFrame:
         "type_header and type_field exclude each other": ~_blank("type_header") & ~_blank("type_field"),
         "signature_header needs signature_secret_env":
             ~_blank("signature_header") & _blank("signature_secret_env"),
+        "a path segment may not hold both kinds of quotes": F.exists(
+            F.concat(
+                F.array("type_field", "external_id_path", "timestamp_path"),
+                F.coalesce(F.map_values("fields_data"), F.array().cast("array<string>")),
+            ),
+            lambda path: F.exists(
+                F.split(F.coalesce(path, F.lit("")), r"\."), lambda step: step.contains("'") & step.contains('"')
+            ),
+        ),
     }
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
     return catalog.select("source", "version", F.explode(broken).alias("rule"))
@@ -128,8 +137,13 @@ def compile_lookup(
     ``secrets`` maps the names in ``signature_secret_env`` to secrets; only key pads
     derived from them enter the lookup, and no operator returns those. The table is
     broadcast when its measured size is under ``max_bytes``; otherwise the join shuffles.
+    A source and version may occur once only: a second row would multiply its requests.
+    `merge_catalogs` resolves repeats.
     """
     spark = catalog.sparkSession
+    repeated = catalog.groupBy(*SPEC_KEY).agg(F.count("*").alias("specs")).filter("specs > 1").first()
+    if repeated is not None:
+        raise ValueError(f"spec {repeated['source']} {repeated['version']} is given {repeated['specs']} times")
     if validate:
         broken = validate_specs(catalog).first()
         if broken is not None:
@@ -152,7 +166,9 @@ def compile_lookup(
             F.coalesce("type_mapping", F.create_map().cast("map<string,string>")).alias("_type_mapping"),
             path("external_id_path").alias("_external_path"),
             path("timestamp_path").alias("_timestamp_path"),
-            F.transform_values("fields_data", lambda _, p: compile_path(p)).alias("_data_paths"),
+            F.transform_values(
+                F.coalesce("fields_data", F.create_map().cast("map<string,string>")), lambda _, p: compile_path(p)
+            ).alias("_data_paths"),
             F.when(
                 ~_blank("signature_header") & ~_blank("signature_secret_env"),
                 F.lower("signature_header"),
@@ -172,10 +188,10 @@ def compile_lookup(
         return SpecLookup(table, extract_fields({}))
     columns = ["_spec_source", "version", "_data_paths", *SCALAR_PATHS]
     rows = local.where("_match_version is not null").select(*columns).collect()
-    if sum(len(r["_data_paths"] or {}) for r in rows) > max_planned_fields:
+    if sum(len(r["_data_paths"]) for r in rows) > max_planned_fields:
         return SpecLookup(F.broadcast(local), extract_fields({}))
     return SpecLookup(
         F.broadcast(local),
-        extract_fields({(r["_spec_source"], r["version"]): r["_data_paths"] or {} for r in rows}),
+        extract_fields({(r["_spec_source"], r["version"]): r["_data_paths"] for r in rows}),
         {name: sorted({r[name] for r in rows if r[name]}) for name in SCALAR_PATHS},
     )

@@ -67,28 +67,30 @@ def newest_per_group(
 
     A group may hold a large share of all rows, so no task sees a whole group: row
     counts per time grain, combined before their shuffle, tell in which grain the n-th
-    newest row lies. Only that grain is ranked, first spread over ``salts`` parts. Rows
+    newest row lies; that grain is counted by seconds, then by finer steps down to one
+    instant. Only that instant's rows are ranked, first spread over ``salts`` parts. Rows
     are then filtered by each group's cutoff and never shuffled themselves.
     """
     group = list(group)
-    grain = F.floor(F.unix_micros(time) / (grain_seconds * 1_000_000))
-    slim = df.select(*group, F.col(time).alias("_t"), F.col(row_id).alias("_id"), grain.alias("_grain"))
-
-    newest_grains_first = Window.partitionBy(*group).orderBy(F.desc("_grain"))
-    counted = slim.groupBy(*group, "_grain").agg(F.count("*").alias("_rows"))
-    boundary = (
-        counted.withColumn("_upto", F.sum("_rows").over(newest_grains_first))
-        .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_rows") < n))
-        .select(*group, "_grain", (n - (F.col("_upto") - F.col("_rows"))).alias("_keep"))
-    )
-    in_boundary = slim.join(boundary, [*group, "_grain"]).withColumn(
-        "_salt", F.pmod(F.xxhash64("_id"), F.lit(salts))
+    slim = df.select(
+        *group, F.col(time).alias("_t"), F.col(row_id).alias("_id"), F.lit(n).cast("bigint").alias("_keep")
     )
+    for micros in (grain_seconds * 1_000_000, 1_000_000, 1_000, 1):
+        slim = slim.withColumn("_grain", F.floor(F.unix_micros("_t") / micros))
+        newest_grains_first = Window.partitionBy(*group).orderBy(F.desc("_grain"))
+        counted = slim.groupBy(*group, "_grain").agg(F.count("*").alias("_rows"), F.first("_keep").alias("_keep"))
+        boundary = (
+            counted.withColumn("_upto", F.sum("_rows").over(newest_grains_first))
+            .filter((F.col("_upto") >= F.col("_keep")) & (F.col("_upto") - F.col("_rows") < F.col("_keep")))
+            .select(*group, "_grain", (F.col("_keep") - (F.col("_upto") - F.col("_rows"))).alias("_keep"))
+        )
+        slim = _in_groups(slim.drop("_keep"), boundary, [*group, "_grain"]).drop("_grain")
     newest_first = [F.desc("_t"), F.desc("_id")]
     salted = Window.partitionBy(*group, "_salt").orderBy(*newest_first)
     whole = Window.partitionBy(*group).orderBy(*newest_first)
     cutoff = (
-        in_boundary.withColumn("_rank", F.row_number().over(salted))
+        slim.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+        .withColumn("_rank", F.row_number().over(salted))
         .filter((F.col("_rank") <= n) & (F.col("_rank") <= F.col("_keep")))
         .withColumn("_rank", F.row_number().over(whole))
         .filter((F.col("_rank") <= n) & (F.col("_rank") == F.col("_keep")))
@@ -99,12 +101,21 @@ def newest_per_group(
     if not group:
         newest = cutoff.select("_cutoff").scalar()
         return df.filter(newest.isNull() | (this_row >= newest))
-    kept = df.join(cutoff, group, "left").filter(
+    kept = _in_groups(df, cutoff, group, "left").filter(
         F.col("_cutoff").isNull() | (this_row >= F.col("_cutoff"))
     )
     return kept.select(*df.columns)
 
 
+def _in_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group; NULL is a group like any other."""
+    renamed = groups.withColumnsRenamed({key: f"_g_{key}" for key in keys})
+    match = F.lit(True)
+    for key in keys:
+        match = match & rows[key].eqNullSafe(renamed[f"_g_{key}"])
+    return rows.join(renamed, match, how).drop(*(f"_g_{key}" for key in keys))
+
+
 def trim_events(events: DataFrame, n: int = EVENTS_PER_SOURCE, **options) -> DataFrame:
     """Bounded history: the ``n`` newest rows of each source."""
     return newest_per_group(events, n, ("source",), **options)

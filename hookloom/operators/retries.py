@@ -18,15 +18,19 @@ def attempt_counts(failures: DataFrame, window_seconds: float = DAY, failure_id:
 
     The counter starts at a message's first failure, lives ``window_seconds`` without
     being extended, and starts again with the next failure. A start thus is a claim of
-    the message with that TTL; failures since the last start are counted.
+    the message with that TTL; failures since the last start are counted. The last
+    failure's source, error, payload and, where there are any, request headers are kept.
     """
+    slim = failures.select("message_id", "failed_at", failure_id)
     repeats = ttl_duplicates(
-        failures, keys=["message_id"], ttl_seconds=window_seconds, time="failed_at", row_id=failure_id
+        slim, keys=["message_id"], ttl_seconds=window_seconds, time="failed_at", row_id=failure_id
     )
-    starts = failures.join(
+    starts = slim.join(
         repeats.withColumnRenamed("request_id", failure_id), failure_id, "left_anti"
     )
     last_start = starts.groupBy("message_id").agg(F.max("failed_at").alias("counter_start"))
+    last = F.struct("failed_at", failure_id)
+    carried = [name for name in ("source", "error", "payload", "headers") if name in failures.columns]
     return (
         failures.join(last_start, "message_id")
         .filter(F.col("failed_at") >= F.col("counter_start"))
@@ -34,9 +38,7 @@ def attempt_counts(failures: DataFrame, window_seconds: float = DAY, failure_id:
         .agg(
             F.count("*").alias("attempts"),
             F.max("failed_at").alias("failed_at"),
-            F.max_by("source", F.struct("failed_at", failure_id)).alias("source"),
-            F.max_by("error", F.struct("failed_at", failure_id)).alias("error"),
-            F.max_by("payload", F.struct("failed_at", failure_id)).alias("payload"),
+            *(F.max_by(name, last).alias(name) for name in carried),
         )
     )
 
@@ -78,18 +80,27 @@ def route_dead_letters(plan: DataFrame) -> DataFrame:
         F.col("error").alias("reason"),
         F.col("attempts").cast("int").alias("attempts"),
         "failed_at",
+        *(["headers"] if "headers" in plan.columns else []),
     )
 
 
 def events_from_payload(dead_letters: DataFrame) -> DataFrame:
-    """Rows of `route_dead_letters` with the fields of the event in their payload."""
+    """Rows of `route_dead_letters` with the fields of the event in their payload.
+
+    Request headers come with the dead letter or, failing that, from the payload; specs
+    that take the event type from a header need them.
+    """
     event = F.try_parse_json("payload")  # checked by `readable`
     text = lambda path: F.try_variant_get(event, path, "string")
+    headers = F.try_variant_get(event, "$.headers", "map<string,string>")
+    if "headers" in dead_letters.columns:
+        headers = F.coalesce("headers", headers)
     return dead_letters.filter("readable").select(
         F.coalesce(text("$.request_id"), "message_id").alias("request_id"),
         F.coalesce(text("$.source"), "source").alias("source"),
         text("$.version").alias("version"),
         F.try_variant_get(event, "$.raw", "variant").alias("raw"),
+        headers.alias("headers"),
         F.col("failed_at").alias("received_at"),
         "reason",
         "attempts",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -50,7 +51,7 @@ def dead_letter_table(classified: DataFrame) -> DataFrame:
 def ingest(
     requests: DataFrame,
     lookup: SpecLookup,
-    history: DataFrame | None = None,
+    history: DataFrame | Callable[[DataFrame], DataFrame | None] | None = None,
     ttl_seconds: float = DAY,
     keys: tuple[str, ...] = EVENT_KEYS,
     max_body: int = MAX_BODY_BYTES,
@@ -61,7 +62,7 @@ def ingest(
     """Classify, normalize and deduplicate a batch.
 
     ``history`` holds the events accepted before, at least those of the last TTL; pass
-    it filtered to those. With ``staged``, normalized rows and the ids of duplicates are
+    it filtered to those, or a function that makes it from the classified rows. With ``staged``, normalized rows and the ids of duplicates are
     written once to the session's shared folder: bodies are then parsed a single time and
     the passes over keys read just their columns. Without it the plan stays lazy and
     repeats the parse per pass. A ``stage_dir`` is used instead, and overwritten, so that
@@ -72,6 +73,8 @@ def ingest(
 
     classified = stage(classify_requests(requests, lookup, max_body), "classified")
     candidates = classified.filter(F.col("outcome") == "accepted")
+    if callable(history):
+        history = history(classified)
     duplicates = ttl_duplicates(
         candidates, keys, ttl_seconds, history=history, hot_rows=hot_rows,
         stage=(lambda df: stage(df, "repeated")) if staged else None,

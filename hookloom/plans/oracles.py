@@ -130,6 +130,77 @@ ORACLES: dict[str, str] = {
           role AS "user", text, 'c' || conv_id AS channel_name,
           '{"name":"c' || conv_id || '"}' AS channel
         FROM conversations""",
+    "normalize_issues": """
+        SELECT CASE event_id % 3 WHEN 0 THEN 'issue.created' WHEN 1 THEN 'issue.comment_created' ELSE 'user_created' END AS type,
+          'EV-' || event_id AS external_id, date_trunc('millisecond', ts) AS "timestamp", props AS summary,
+          event_type AS status, 'User ' || user_id AS assignee, user_id % 2 = 0 AS assignee_active, value AS votes
+        FROM events""",
+    "normalize_tasks": """
+        SELECT CASE event_id % 4 WHEN 0 THEN 'resource.created' WHEN 1 THEN 'resource.updated'
+            WHEN 2 THEN 'resource.deleted' ELSE 'restore' END AS type,
+          'task-' || event_id AS external_id, date_trunc('millisecond', ts) AS "timestamp", event_id AS number,
+          event_type AS state, '[{"name":"' || event_type || '"}]' AS labels, value AS estimate, 'Issue' AS resource_type
+        FROM events""",
+    "normalize_incidents": """
+        SELECT CASE event_id % 3 WHEN 0 THEN 'incident.triggered' WHEN 1 THEN 'incident.note_added'
+            ELSE 'incident.workflow.started' END AS type,
+          'inc-' || event_id AS external_id, date_trunc('second', ts) AS "timestamp", 'call-' || event_id AS event_id,
+          user_id AS incident_number, event_type AS service_name
+        FROM events""",
+    "normalize_interactions": """
+        SELECT CASE event_id % 8 WHEN 0 THEN 'interaction.ping' WHEN 1 THEN 'interaction.application_command'
+            WHEN 2 THEN 'interaction.message_component' WHEN 3 THEN 'interaction.autocomplete' WHEN 4 THEN '6'
+            WHEN 5 THEN '2.5' WHEN 6 THEN '1.2345675e+06' ELSE '1e-05' END AS type,
+          event_id::VARCHAR AS external_id, ts AS "timestamp", event_type AS command_name, 'user' || user_id AS username
+        FROM events""",
+    "normalize_text_messages": """
+        SELECT CASE event_id % 3 WHEN 0 THEN 'sms.delivered' WHEN 1 THEN 'sms.failed' ELSE 'scheduled' END AS type,
+          'SM' || event_id AS external_id, ts AS "timestamp", '+1' || user_id AS "from", props AS body, '0' AS num_media
+        FROM events""",
+    "normalize_repositories": """
+        SELECT '2024-01' AS version, CASE page_id % 3 WHEN 0 THEN 'repo.push' WHEN 1 THEN 'sub_issues' ELSE 'gollum' END AS type,
+          url AS compare, page_id AS sender_id
+        FROM pages""",
+    "scalar_text_forms": """
+        WITH parts AS (
+          SELECT (event_id + 1)::VARCHAR AS number, rtrim((event_id + 1)::VARCHAR, '0') AS digits,
+            CASE event_id % 8 WHEN 0 THEN -20 WHEN 1 THEN -7 WHEN 2 THEN -5 WHEN 3 THEN 0 WHEN 4 THEN 3
+              WHEN 5 THEN 9 WHEN 6 THEN 25 ELSE 300 END AS power
+          FROM events),
+        placed AS (
+          SELECT digits, length(number) + power AS point, length(number) + power - 1 AS e FROM parts),
+        forms AS (
+          SELECT *, CASE WHEN point <= 0 THEN '0.' || repeat('0', (-point)::INT) || digits
+              WHEN point >= length(digits) THEN rpad(digits, point::INT, '0')
+              ELSE left(digits, point) || '.' || substr(digits, point + 1) END AS plain
+          FROM placed)
+        SELECT plain AS external_id,
+          CASE WHEN plain IN ('1', '2', '3', '4', '5') THEN ['interaction.ping', 'interaction.application_command',
+                'interaction.message_component', 'interaction.autocomplete', 'interaction.modal_submit'][plain::INT]
+            WHEN (point >= length(digits) AND point < 19) OR (e >= -4 AND e < 6) THEN plain
+            ELSE left(digits, 1) || CASE WHEN length(digits) > 1 THEN '.' || substr(digits, 2) ELSE '' END
+              || CASE WHEN e < 0 THEN 'e-' ELSE 'e+' END || lpad(abs(e)::VARCHAR, greatest(2, length(abs(e)::VARCHAR))::INT, '0')
+            END AS type
+        FROM forms""",
+    "reprocess_shop": """
+        SELECT o_orderkey::VARCHAR AS external_id, 'accepted' AS outcome,
+          CASE o_orderstatus WHEN 'F' THEN 'order.created' WHEN 'O' THEN 'order.updated'
+            ELSE 'orders/partially_fulfilled' END AS type
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "store_numeric_sources": """
+        SELECT lpad((user_id % 20)::VARCHAR, 3, '0') AS source, count(*) AS events FROM events GROUP BY 1""",
+    "merged_catalog_lookup": f"""
+        SELECT 'stripe' AS source, {PAY_VERSION} AS version, count(*) AS events
+        FROM events WHERE {PAY_VERSION} IS NOT NULL GROUP BY 2""",
+    "stream_ingest_tables": f"""
+        WITH RECURSIVE {BULK_OUTCOMES}
+        SELECT 'outcomes' AS kind, outcome, count(*) AS entries FROM outcomes GROUP BY outcome
+        UNION ALL SELECT 'dead_letters', outcome, count(*) FROM outcomes WHERE outcome = 'unserializable' GROUP BY outcome
+        UNION ALL SELECT 'events', outcome, count(*) FROM outcomes WHERE outcome = 'accepted' GROUP BY outcome""",
+    "read_landed_requests": """
+        SELECT 'text-' || doc_id AS request_id, 'shopify' AS source, octet_length(encode(text)) AS body_bytes,
+          TIMESTAMP '1970-01-01' + to_seconds(doc_id + 1700000000) AS received_at
+        FROM documents""",
     "normalize_code_pages": """
         SELECT '2025-01' AS version,
           CASE page_id % 3 WHEN 0 THEN 'repo.push' WHEN 1 THEN 'repo.sub_issues' ELSE 'gollum' END AS type,

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from hookloom.functions.requests import hmac_pads, hmac_sha256
 from hookloom.schemas import REQUESTS
-from hookloom.session import spread_if_few
+from hookloom.session import spread_scan
 
 SIGNING_SECRET_NAME = "MAIL_WEBHOOK_SECRET"
 SIGNING_SECRET = "a-secret-for-test-data"
 SIGNED_SOURCE = "signed-mail"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table with its timestamps as instants."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table with its timestamps as instants; ``spread`` over all cores if it has few files."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        df = spread_scan(df)
     for field in df.schema:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
@@ -30,7 +32,6 @@ def _requests(
     rows: DataFrame, request_id: Column, source: Column | str, body: Column, received_at: Column,
     headers: Column | None = None, query_version: Column | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    rows = spread_if_few(rows)
     no_headers = F.lit(None).cast("map<string,string>")
     return rows.select(
         request_id.cast("string").alias("request_id"),
@@ -45,7 +46,7 @@ def _requests(
 
 def shop_requests(spark: SparkSession, sf_dir: str, line_items: bool = False) -> DataFrame:
     """Orders as shop webhooks; the topic header follows the order status."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", spread=True)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     parts = [
@@ -103,7 +104,7 @@ def mail_timestamp(ts: Column, event_id: Column) -> Column:
 
 def mail_requests(spark: SparkSession, sf_dir: str, source: str = "sendgrid", shared_ids: bool = False) -> DataFrame:
     """Events as mail webhooks; with ``shared_ids`` a user's events of one type share an id."""
-    rows = table(spark, sf_dir, "events")
+    rows = table(spark, sf_dir, "events", spread=True)
     external = (
         F.concat(F.lit("sg-"), "event_type", F.lit("-"), "user_id") if shared_ids
         else F.concat(F.lit("sg-"), "event_id")
@@ -156,7 +157,7 @@ def pay_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     The version is asked for by header, by query, by both (the header counts), not at
     all, or is unknown, by the event's id.
     """
-    rows = table(spark, sf_dir, "events")
+    rows = table(spark, sf_dir, "events", spread=True)
     kind = F.col("event_id") % 5
     header_version = F.when(kind == 0, "2024-01").when(kind == 1, "2025-04").when(kind == 2, "")
     query_version = (
@@ -191,7 +192,7 @@ def pay_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as chat webhooks; whole texts travel in the body."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = table(spark, sf_dir, "conversations", spread=True)
     name = F.concat_ws("-", "conv_id", "turn")
     body = F.to_json(F.struct(
         name.alias("event_id"),
@@ -210,7 +211,7 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as code-host webhooks: type in a header, no external id, no timestamp."""
-    rows = table(spark, sf_dir, "pages")
+    rows = table(spark, sf_dir, "pages", spread=True)
     kind = (
         F.when(F.col("page_id") % 3 == 0, "push")
         .when(F.col("page_id") % 3 == 1, "sub_issues")
@@ -228,9 +229,107 @@ def code_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _kind(*names: str) -> Column:
+    """One of some names by the event's id."""
+    choice = F.pmod("event_id", F.lit(len(names)))
+    return F.element_at(F.array(*(F.lit(name) for name in names)), choice.cast("int") + 1)
+
+
+def issue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as issue tracker webhooks with milliseconds and deep fields."""
+    body = F.to_json(F.struct(
+        _kind("jira:issue_created", "comment_created", "user_created").alias("webhookEvent"),
+        F.unix_millis("ts").alias("timestamp"),
+        F.struct(
+            F.col("event_id").alias("id"), F.concat(F.lit("EV-"), "event_id").alias("key"),
+            F.struct(
+                F.col("props").alias("summary"), F.struct(F.col("event_type").alias("name")).alias("status"),
+                F.struct(
+                    F.concat(F.lit("User "), "user_id").alias("displayName"),
+                    (F.col("user_id") % 2 == 0).alias("active"),
+                ).alias("assignee"),
+                F.struct(F.col("value").alias("votes")).alias("votes"),
+            ).alias("fields"),
+        ).alias("issue"),
+    ))
+    return _event_webhooks(spark, sf_dir, "jira", body)
+
+
+def task_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as task webhooks with a label array."""
+    body = F.to_json(F.struct(
+        _kind("create", "update", "remove", "restore").alias("action"),
+        F.lit("Issue").alias("type"),
+        F.struct(
+            F.concat(F.lit("task-"), "event_id").alias("id"), F.col("event_id").alias("number"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updatedAt"),
+            F.struct(F.col("event_type").alias("name")).alias("state"),
+            F.array(F.struct(F.col("event_type").alias("name"))).alias("labels"),
+            F.col("value").alias("estimate"),
+        ).alias("data"),
+    ))
+    return _event_webhooks(spark, sf_dir, "linear", body)
+
+
+def incident_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as incident webhooks: type and time inside the event."""
+    body = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("call-"), "event_id").alias("id"),
+        _kind("incident.triggered", "incident.annotated", "incident.workflow.started").alias("event_type"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"),
+        F.struct(
+            F.concat(F.lit("inc-"), "event_id").alias("id"), F.col("user_id").alias("number"),
+            F.struct(F.col("event_type").alias("summary")).alias("service"),
+        ).alias("data"),
+    ).alias("event")))
+    return _event_webhooks(spark, sf_dir, "pagerduty", body)
+
+
+def interaction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as chat interactions whose type is a number, whole or not."""
+    kind = _kind("1", "2", "3.0", "4e0", "6", "2.5", "1234567.5", "0.00001")
+    rest = F.to_json(F.struct(
+        F.col("event_id").alias("id"),
+        F.struct(F.struct(F.concat(F.lit("user"), "user_id").alias("username")).alias("user")).alias("member"),
+        F.struct(F.col("event_type").alias("name")).alias("data"),
+    ))
+    body = F.concat(F.lit('{"type":'), kind, F.lit(","), F.substring(rest, 2, 1 << 30))
+    return _event_webhooks(spark, sf_dir, "discord", body)
+
+
+def text_message_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as text message webhooks: flat, all text, without a time."""
+    body = F.to_json(F.struct(
+        F.concat(F.lit("SM"), "event_id").alias("MessageSid"),
+        _kind("delivered", "failed", "scheduled").alias("SmsStatus"),
+        F.concat(F.lit("+1"), "user_id").alias("From"), F.col("props").alias("Body"), F.lit("0").alias("NumMedia"),
+    ))
+    return _event_webhooks(spark, sf_dir, "twilio", body)
+
+
+def scaled_value_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as interactions whose id and type are numbers from 1e-20 to 1e300."""
+    power = _kind("-20", "-7", "-5", "0", "3", "9", "25", "300")
+    number = F.concat(F.col("event_id") + 1, F.lit("e"), power)
+    body = F.concat(F.lit('{"id":'), number, F.lit(',"type":'), number, F.lit("}"))
+    return _event_webhooks(spark, sf_dir, "discord", body)
+
+
+def _event_webhooks(spark: SparkSession, sf_dir: str, source: str, body: Column) -> DataFrame:
+    rows = table(spark, sf_dir, "events", spread=True)
+    return _requests(
+        rows, F.concat(F.lit(f"{source}-"), "event_id"), source, body, F.col("ts"), keep=("event_id",)
+    )
+
+
+def repository_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as code-host webhooks that ask for the older version."""
+    return code_requests(spark, sf_dir).withColumn("query_version", F.lit("2024-01"))
+
+
 def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as shop webhooks with faults of every kind; copies of a text share an id."""
-    rows = table(spark, sf_dir, "documents")
+    rows = table(spark, sf_dir, "documents", spread=True)
     doc = F.col("doc_id")
     body = F.to_json(F.struct(
         F.md5("text").alias("id"),
@@ -257,7 +356,7 @@ def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sent as bare text, for the size gate."""
-    rows = table(spark, sf_dir, "documents")
+    rows = table(spark, sf_dir, "documents", spread=True)
     return _requests(
         rows, F.concat(F.lit("text-"), "doc_id"), "shopify", F.col("text"),
         F.timestamp_seconds(F.col("doc_id") + 1_700_000_000), keep=("doc_id",),

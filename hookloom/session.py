@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     configured = tempfile.mkdtemp(prefix="hookloom-")
     spark.conf.set("spark.checkpoint.dir", configured)
@@ -53,14 +54,15 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when their scan has fewer partitions than that.
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a file scan over all cores when it has fewer splits than that.
 
     Parsing is bound by CPU, and a handful of small files would leave most cores idle.
-    A table of many files is read as it is, without a shuffle.
+    A table of many files is read as it is, without a shuffle. Only for plain scans: a
+    plan with exchanges would be executed to count its partitions.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def localize_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame | None:

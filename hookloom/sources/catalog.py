@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
+from importlib import resources
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from hookloom.schemas import SPECS
 
-BUILTIN_SPECS = str(Path(__file__).resolve().parents[1] / "specs")
-
 _NULL_AND_MERGE = ("tag:yaml.org,2002:null", "tag:yaml.org,2002:merge")
 
 
@@ -67,12 +65,26 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def load_spec_catalog(spark: SparkSession, path: str = BUILTIN_SPECS, recursive: bool = True) -> DataFrame:
-    """Read the ``*.yml`` specs under ``path``; a later file wins over an earlier one.
+def builtin_specs(spark: SparkSession) -> DataFrame:
+    """The specs this package brings along, a local table; executors need not have its files."""
+    load = _yaml_loader()
+    files = sorted(
+        (f for f in resources.files("hookloom").joinpath("specs").iterdir() if f.name.endswith(".yml")),
+        key=lambda f: f.name,
+    )
+    rows = [_spec_row(load(f.read_text(encoding="utf-8"))) for f in files]
+    last = {(row["source"], row["version"]): row for row in rows}
+    return spark.createDataFrame([tuple(row[name] for name in SPECS.names) for row in last.values()], SPECS)
+
+
+def load_spec_catalog(spark: SparkSession, path: str | None = None, recursive: bool = True) -> DataFrame:
+    """Read the ``*.yml`` specs under ``path``, or the built-in ones; a later file wins over an earlier one.
 
-    The built-in set is read through all subfolders; pass ``recursive=False`` for a
-    custom folder of which only the top level counts.
+    A folder is read by the executors and must be shared by them. All its subfolders count,
+    or only its top level with ``recursive=False``.
     """
+    if path is None:
+        return builtin_specs(spark)
     files = (
         spark.read.format("text")
         .option("wholetext", "true")

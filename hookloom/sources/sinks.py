@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_RECORDS_PER_FILE = 2_000_000
 
@@ -48,9 +49,13 @@ def stage_requests(requests: DataFrame, path: str, batch_id: int | None = None)
     _write(requests, path, (), batch_id)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by this module, with partition columns as text where they were text."""
-    df = spark.read.parquet(path)
-    if "source" in df.columns:
-        df = df.withColumn("source", F.col("source").cast("string"))
-    return df
+# Types of the columns that folders carry. Guessed from the names of folders, a source
+# such as 007 would come back as 7.
+FOLDER_COLUMNS = {"source": T.StringType(), "batch_id": T.LongType()}
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table written by this module, with its partition columns as they were written."""
+    found = spark.read.parquet(path).schema if schema is None else schema
+    fields = [T.StructField(f.name, FOLDER_COLUMNS.get(f.name, f.dataType)) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)

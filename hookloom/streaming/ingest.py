@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hookloom.operators.catalog import SpecLookup
-from hookloom.operators.dedupe import DAY
+from hookloom.operators.dedupe import DAY, EVENT_KEYS, has_key
 from hookloom.operators.normalize import EVENT_COLUMNS, MAX_BODY_BYTES, classify_requests
 from hookloom.plans.ingest import dead_letter_table, ingest, outcome_table
-from hookloom.sources.sinks import read_table, write_dead_letters, write_events, write_outcomes
+from hookloom.sources.sinks import write_dead_letters, write_events, write_outcomes
 from hookloom.streaming.dedupe import dedupe_ttl_stream
 
 
-def _events_so_far(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return read_table(spark, path)
-    except AnalysisException:
-        return None  # nothing written yet
+HOUR_US = 3_600_000_000
+CLAIMS = "source string, external_id string, received_at timestamp, hour long, batch_id long"
+
+
+def write_claims(events: DataFrame, path: str, batch_id: int) -> None:
+    """Keys and arrivals of accepted events, in a folder per hour of arrival and batch."""
+    claims = events.filter(has_key(events, EVENT_KEYS)).select(*EVENT_KEYS, "received_at").withColumns({
+        "hour": F.floor(F.unix_micros("received_at") / HOUR_US), "batch_id": F.lit(batch_id).cast("long"),
+    })
+    writer = claims.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("hour", "batch_id").parquet(path)
+
+
+def live_claims(spark: SparkSession, path: str, since_us: int, batch_id: int) -> DataFrame | None:
+    """Claims of other batches since an instant, None if there are none.
+
+    Only the hours since then are listed and read, however long the table has grown.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    hours = [name for name in names if name.startswith("hour=") and int(name[5:]) >= since_us // HOUR_US]
+    if not hours:
+        return None
+    claims = spark.read.schema(CLAIMS).option("basePath", path).parquet(*(f"{path}/{name}" for name in sorted(hours)))
+    alive = F.unix_micros("received_at") > since_us
+    return claims.filter((F.col("batch_id") != batch_id) & alive).select(*EVENT_KEYS, "received_at")
 
 
 def ingest_batches(
     requests: DataFrame, lookup: SpecLookup, out: str, checkpoint: str,
     ttl_seconds: float = DAY, max_body: int = MAX_BODY_BYTES, once: bool = False,
 ) -> StreamingQuery:
-    """Ingest each micro-batch with the batch operators, deduplicated against the event table.
+    """Ingest each micro-batch with the batch operators, deduplicated against the claims before it.
 
     Arrival time is the clock, so results do not depend on how rows fall into batches as
     long as later batches hold later arrivals. A batch replaces its own folders when it
-    is run again, and does not count them as history.
+    is run again, and does not count them as history. Claims are a slim table of their own
+    under ``out``, of which a batch reads the hours that can still block its arrivals.
     """
-    events_path = f"{out}/events"
+    claims_path = f"{out}/claims"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        history = _events_so_far(spark, events_path)
-        if history is not None:
-            # Only events of the last TTL can block an arrival of this batch.
-            oldest = batch.agg(F.min(F.unix_micros("received_at"))).first()[0] or 0
-            alive = F.col("received_at") > F.timestamp_micros(F.lit(oldest - int(ttl_seconds * 1e6)))
-            history = history.filter((F.col("batch_id") != batch_id) & alive)
+        def history(classified: DataFrame) -> DataFrame | None:
+            oldest = classified.agg(F.min(F.unix_micros("received_at"))).first()[0]
+            if oldest is None:
+                return None
+            return live_claims(batch.sparkSession, claims_path, oldest - int(ttl_seconds * 1e6), batch_id)
+
         result = ingest(
             batch, lookup, history, ttl_seconds, max_body=max_body, stage_dir=f"{out}/staged"
         )
         write_outcomes(result.outcomes, f"{out}/outcomes", batch_id)
         write_dead_letters(result.dead_letters, f"{out}/dead_letters", batch_id)
-        write_events(result.events, events_path, batch_id)
+        write_events(result.events, f"{out}/events", batch_id)
+        write_claims(result.events, claims_path, batch_id)
 
     return _start(requests.writeStream.foreachBatch(run), checkpoint, once)
 
@@ -56,7 +81,7 @@ def ingest_stateful(
     requests: DataFrame, lookup: SpecLookup, out: str, checkpoint: str,
     ttl_seconds: float = DAY, max_body: int = MAX_BODY_BYTES, once: bool = False,
 ) -> StreamingQuery:
-    """Ingest with claims in keyed state instead of the event table."""
+    """Ingest with claims in keyed state instead of a table of claims."""
     classified = classify_requests(requests, lookup, max_body)
     # Rejected rows keep out of the claims by having no key.
     keyed = classified.withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,42 +22,44 @@ class AttemptCounter(StatefulProcessor):
     """Counts failures of a message and decides after each.
 
     The counter expires one window after its first failure and is cleared when the
-    message is dead-lettered.
+    message is dead-lettered. It is one state with a time to live, so a message that
+    succeeds after some failures leaves nothing behind.
     """
 
     def __init__(self, limit: int, base_seconds: float, window_seconds: float) -> None:
         self.limit, self.base, self.window_ms = limit, base_seconds, int(window_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # The mark is written at the first failure only, so its expiry ends the counter.
-        self.started = handle.getValueState("started", "since boolean", ttlDurationMs=self.window_ms)
-        self.count = handle.getValueState("count", "attempts int")
+        self.counter = handle.getValueState("counter", "attempts int, ends long", ttlDurationMs=self.window_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        attempt = self.count.get()[0] if self.started.exists() and self.count.exists() else 0
-        fresh = attempt == 0
-        for batch in rows:
-            batch = batch.sort_values("failed_at")
-            decided = []
-            for failure in batch.itertuples(index=False):
-                attempt += 1
-                again = attempt < self.limit
-                delay = self.base * 2.0**attempt if again else None
-                decided.append((
-                    key[0], failure.source, failure.error, attempt,
-                    "retry" if again else "dead_letter", delay, failure.failed_at,
-                    failure.failed_at + pd.Timedelta(seconds=delay) if again else pd.NaT,
-                ))
-                if not again:
-                    attempt, fresh = 0, True
-            yield pd.DataFrame(decided, columns=[c.split()[0] for c in DECISIONS.split(", ")])
-        if attempt == 0:
-            self.started.clear()
-            self.count.clear()
+        now = timer_values.getCurrentProcessingTimeInMs()
+        before, ends = self.counter.get() if self.counter.exists() else (0, 0)
+        # The time to live counts from the last write, the window from the first failure.
+        if not before or now >= ends:
+            before, ends = 0, now + self.window_ms
+        failures = pd.concat(list(rows)).sort_values("failed_at", kind="stable", ignore_index=True)
+        numbers = before + np.arange(len(failures))
+        attempt = numbers % self.limit + 1
+        again = attempt < self.limit
+        delay = np.where(again, self.base * 2.0 ** attempt, np.nan)
+        yield pd.DataFrame({
+            "message_id": key[0],
+            "source": failures["source"],
+            "error": failures["error"],
+            "attempt": attempt.astype("int32"),
+            "action": np.where(again, "retry", "dead_letter"),
+            "delay_seconds": pd.Series(delay).astype(object).where(again, None),
+            "failed_at": failures["failed_at"],
+            "due_at": failures["failed_at"] + pd.to_timedelta(pd.Series(delay), unit="s"),
+        })
+        left = (before + len(failures)) % self.limit
+        if left:
+            if before + len(failures) >= self.limit:  # started anew after a dead letter
+                ends = now + self.window_ms
+            self.counter.update((int(left), int(ends)))
         else:
-            if fresh:
-                self.started.update((True,))
-            self.count.update((attempt,))
+            self.counter.clear()
 
     def close(self) -> None:
         pass

@@ -157,3 +157,22 @@ def test_headers_and_versions(spark):
     df = spark.createDataFrame(rows, "headers map<string,string>, q string, want string")
     asked = rq.requested_version(F.col("headers"), F.col("q"))
     assert all(r[0] == r[1] for r in df.select(asked, "want").collect())
+
+
+def test_numbers_keep_all_their_digits(spark):
+    from pyspark.sql import functions as F
+
+    from hookloom.functions import payload as pl
+
+    cases = {
+        "1.5e-20": ("0.000000000000000000015", "1.5e-20"), "1e25": ("1" + "0" * 25, "1e+25"),
+        "2.5e300": ("25" + "0" * 299, "2.5e+300"), "1.2345678901234567e-5": ("0.000012345678901234568", "1.2345678901234568e-05"),
+        "8.41e21": ("8410000000000000000000", "8.41e+21"), "-1.5e-7": ("-0.00000015", "-1.5e-07"), "1e-4": ("0.0001", "0.0001"),
+        "1.50": ("1.5", "1.5"), "-0.0": ("0", "0"), "0e5": ("0", "0"), "1234567.5": ("1234567.5", "1.2345675e+06"),
+        "9007199254740993": ("9007199254740993",) * 2, "12345678901234567890123": ("12345678901234567890123",) * 2,
+        "0.0000000000000000000000001": ("0.0000000000000000000000001", "1e-25"),
+    }
+    rows = spark.createDataFrame([(text,) for text in cases], "text string").withColumn("v", F.parse_json("text"))
+    kind = F.schema_of_variant("v")
+    got = rows.select("text", pl.scalar_text(F.col("v"), kind), pl.scalar_text(F.col("v"), kind, general=True)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases

@@ -129,3 +129,34 @@ def test_payload_is_not_shuffled_to_find_duplicates(spark):
     rows = table(spark, [("a", 0, "1"), ("a", 1, "2")]).withColumn("payload", F.lit("x"))
     plan = dd.ttl_duplicates(rows)._jdf.queryExecution().executedPlan().toString()
     assert "payload" not in plan
+
+
+def test_time_thinner_is_exact_for_any_batches():
+    """Kept rows are those a chain of claims can reach, however rows fall into batches."""
+    import numpy as np
+    import pandas as pd
+
+    from hookloom.functions.claims import time_thinner
+
+    def reachable(times, ttl):
+        reached = times < times[0] + ttl
+        for row in range(len(times)):
+            if reached[row]:
+                follow = np.searchsorted(times, times[row] + ttl)
+                if follow < len(times):
+                    reached[follow] = True
+        return reached
+
+    draw = np.random.default_rng(4)
+    for _ in range(60):
+        parts, want = [], []
+        for key in range(3):
+            times = np.unique(draw.integers(0, draw.integers(20, 400), 40))
+            if key == 2:
+                times = np.arange(0, 60, 3)  # exactly periodic
+            parts.append(pd.DataFrame({"k": f"k{key}", "us": times}))
+            want.append(parts[-1][reachable(times, 12)])
+        rows, size = pd.concat(parts, ignore_index=True), int(draw.integers(1, 30))
+        batches = (rows.iloc[at:at + size] for at in range(0, len(rows), size))
+        got = pd.concat(time_thinner(["k"], 12)(batches))
+        assert got[["k", "us"]].values.tolist() == pd.concat(want)[["k", "us"]].values.tolist()

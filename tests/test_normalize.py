@@ -231,3 +231,30 @@ def test_rules_for_specs(spark):
     ]
     with pytest.raises(ValueError, match="required|exclude|needs"):
         cat.compile_lookup(specs)
+
+
+def test_catalogs_with_repeats_or_unusable_paths_are_refused(spark, catalog):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from hookloom.operators import catalog as cat
+
+    with pytest.raises(ValueError, match="times"):
+        cat.compile_lookup(catalog.union(catalog))
+    quoted = catalog.filter("source = 'stripe'").withColumn("external_id_path", F.lit("""a'b"c"""))
+    with pytest.raises(ValueError, match="quotes"):
+        cat.compile_lookup(quoted)
+
+
+def test_a_spec_without_fields_gives_empty_data_on_every_path(spark, catalog):
+    from pyspark.sql import functions as F
+
+    from hookloom.operators import catalog as cat
+    from hookloom.operators import normalize as nm
+    from tests.helpers import request, requests_table
+
+    none = catalog.filter("source = 'twilio'").withColumn("fields_data", F.lit(None).cast("map<string,string>"))
+    rows = requests_table(spark, request("twilio", {"MessageSid": "m", "SmsStatus": "sent"}))
+    for options in ({}, {"max_planned_fields": -1}, {"max_bytes": 1}):
+        events = nm.normalize_requests(rows, cat.compile_lookup(none, **options))
+        assert [dict(r.data) for r in events.select("data").collect()] == [{}], options

@@ -59,3 +59,17 @@ def test_scans_read_only_needed_columns(spark):
         "*", F.col("event_id").cast("string").alias("request_id"), F.col("ts").cast("timestamp").alias("at"))
     text = plan(dd.ttl_duplicates(events, keys=["event_type", "user_id"], time="at"))
     assert "props" not in text and "value" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_request_sets_start_no_job(spark):
+    from hookloom.plans import request_sets as rs
+
+    sf = "/root/testdata/sf0.001"
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("request-sets", "building")
+    try:
+        rs.shop_requests(spark, sf, line_items=True)
+        jobs = len(tracker.getJobIdsForGroup("request-sets"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3  # one for the schema of each file

@@ -137,3 +137,28 @@ def test_latency_histogram_is_cumulative(spark):
     got = {r.le: r.requests for r in mt.latency_histogram(rows).collect()}
     assert got == {"0.005": 2, "0.01": 2, "0.025": 2, "0.05": 2, "0.1": 2, "0.25": 2, "0.5": 3, "1.0": 3,
                    "2.5": 4, "5.0": 4, "10.0": 4, "+Inf": 5}
+
+
+def test_trim_treats_null_as_a_group_and_ranks_one_instant(spark):
+    from datetime import timedelta
+
+    from hookloom.operators import readback as rb
+    from tests.helpers import ARRIVAL
+
+    rows = [(f"{i:03d}", None if i % 2 else "a", ARRIVAL + timedelta(microseconds=i // 8)) for i in range(200)]
+    table = spark.createDataFrame(rows, "id string, source string, stored_at timestamp")
+    kept = rb.trim_events(table, 7).collect()
+    newest = lambda odd: sorted(r[0] for r in rows if (r[1] is None) == odd)[-7:]
+    assert sorted(r.id for r in kept if r.source is None) == newest(True)
+    assert sorted(r.id for r in kept if r.source == "a") == newest(False)
+    assert sorted(r.id for r in rb.trim_table(table, 11, "stored_at", "id").collect()) == [f"{i:03d}" for i in range(189, 200)]
+
+
+def test_numeric_looking_sources_come_back_as_written(spark, tmp_path):
+    from hookloom.sources import sinks
+
+    table = spark.createDataFrame([("a", "007"), ("b", "7"), ("c", "1e3")], "id string, source string")
+    sinks.write_events(table, str(tmp_path / "events"), batch_id=3)
+    back = sinks.read_table(spark, str(tmp_path / "events"))
+    assert sorted((r.id, r.source) for r in back.collect()) == [("a", "007"), ("b", "7"), ("c", "1e3")]
+    assert dict(back.dtypes)["batch_id"] == "bigint"

@@ -40,7 +40,10 @@ from hookloom.session import shared_dir, stage_table
 ARCHIVE_BYTES = 256 << 20
 FAN_IN = 512
 RANGE_ROWS = 250_000
-SAMPLES = 50_000
+# Keys of all runs together that splitters are chosen from.
+SAMPLES = 8192
+SAMPLE_FIELDS = ("url_key", "captured_at", "page_id", "archive", "offset")
+SAMPLE_SQL = "url_key: string, captured_at: string, page_id: long, archive: string, offset: long"
 BATCH = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -272,7 +275,7 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Read archives back and write a sorted run for each; returns ``run``, ``rows`` and ``samples``."""
     count = archives.count()
     if not count:
-        return archives.sparkSession.createDataFrame([], f"run string, rows long, samples array<struct<{ENTRY_SQL}>>")
+        return archives.sparkSession.createDataFrame([], f"run string, rows long, samples array<struct<{SAMPLE_SQL}>>")
     keep = max(1, SAMPLES // count)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,16 +287,16 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
                                for offset, length, record in gzip_members(stream)]
                 entries.sort(key=sort_key)
                 run = f"{folder}/{uuid.uuid4().hex}.run.parquet"
-                step = max(1, len(entries) // keep)
+                step = max(1, -(-len(entries) // keep))
+                sample = [{name: entry[name] for name in SAMPLE_FIELDS} for entry in entries[step // 2::step]]
                 yield pd.DataFrame({
-                    "run": [run], "rows": [write_run(iter(entries), run)], "samples": [entries[step // 2::step]],
+                    "run": [run], "rows": [write_run(iter(entries), run)], "samples": [sample],
                 }).astype({"run": object})
 
     # An archive is one row and much work, so archives are dealt out one to a task.
     dealt = archives.repartition(count, "archive")
-    fields = ENTRY_SQL.replace(" string", ": string").replace(" long", ": long")
     return stage_table(
-        dealt.mapInPandas(read, f"run string, rows long, samples array<struct<{fields}>>"), "warc-runs"
+        dealt.mapInPandas(read, f"run string, rows long, samples array<struct<{SAMPLE_SQL}>>"), "warc-runs"
     )
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hookloom.llm.common import BLANKS, broadcast_if_small, let, positions, split_words, whole_text
+from hookloom.operators.normalize import computed_once
 from hookloom.session import stage_table
 
 SYMBOLS = "#*$%&|<>"
@@ -254,22 +255,28 @@ def score_quality(
     share: float = 0.5,
     steps: int = 4,
     rejected_share: float = 1e-7,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """One row per document: ``row`` (the carried columns), ``stat``, ``failed``, ``d2`` and ``kept``.
 
     ``share`` is the part of a group the estimate rests on, so just under half of it may be
     junk. ``rejected_share`` is the part of ordinary rows that the cutoff may cost, were
-    they normally distributed.
+    they normally distributed. Without ``stage_rows`` only the statistics are written for
+    the fit and worked out again for the verdict, so that no copy of the texts is made.
     """
-    rows = docs.select(
+    source = docs.select(
         F.struct(*(F.col(f"`{name}`") for name in carry)).alias("row"),
         *(F.col(f"`{name}`").cast("string").alias(f"g{i}") for i, name in enumerate(groups)),
-        text_statistics(F.col(f"`{text}`")).alias("stat"),
+        F.col(f"`{text}`").alias("content"),
     )
-    rows = stage_table(rows, "quality-rows").withColumns({
-        "failed": base_failed(F.col("stat")), "x": feature_vector(F.col("stat")),
-    })
-    usable = rows.filter(~F.col("failed"))
+    counted = computed_once(source, stat=text_statistics(F.col("content"))).drop("content")
+    measured = stage_table(counted if stage_rows else counted.drop("row"), "quality-rows")
+
+    def vectors(table: DataFrame) -> DataFrame:
+        return table.withColumns({"failed": base_failed(F.col("stat")), "x": feature_vector(F.col("stat"))})
+
+    usable = vectors(measured).filter(~F.col("failed"))
+    rows = vectors(measured if stage_rows else counted)
     sizes = stage_table(usable.groupBy("g0", "g1").agg(F.count("*").alias("n")), "quality-sizes")
     levels = sizes.select(
         "g0", "g1", "n",
@@ -328,5 +335,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
-    scored = score_quality(docs, docs.columns)
+    scored = score_quality(docs, docs.columns, stage_rows=False)
     return scored.filter("kept").select("row.*")

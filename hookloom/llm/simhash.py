@@ -24,7 +24,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, MapType
+from pyspark.sql.window import Window
 
 from hookloom.llm.common import whole_text
 from hookloom.llm.components import connected_components
@@ -113,16 +114,13 @@ def close_links(prints: DataFrame, max_distance: int = 2, paired_members: int =
 
 
 def near_duplicate_groups(
-    docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id",
-    shingle: int = 3, max_distance: int = 2,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, max_distance: int = 2,
 ) -> DataFrame:
-    """One row per document: ``row`` (the carried columns), ``id``, ``at`` (a number of its own), ``fp``,
-    ``root`` (one of its group's words) and ``component_id``.
+    """One row per document: ``id``, ``row_key`` (a hash of all its columns), ``fp``, ``root`` (one of
+    its group's words) and ``component_id``. No texts are written.
     """
     rows = stage_table(docs.select(
-        F.struct(*(F.col(f"`{name}`") for name in carry)).alias("row"),
-        F.col(f"`{doc_id}`").alias("id"),
-        F.monotonically_increasing_id().alias("at"),
+        F.col(f"`{doc_id}`").alias("id"), row_key(docs).alias("row_key"),
         fingerprint(F.col(f"`{text}`"), shingle).alias("fp"),
     ), "simhash-rows")
     prints = stage_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-prints")
@@ -134,9 +132,17 @@ def near_duplicate_groups(
     return rows.join(named, "fp")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of a row's columns; maps, which have no order, count by their JSON."""
+    columns = []
+    for field in docs.schema:
+        column = F.col(f"`{field.name}`")
+        columns.append(F.to_json(column) if isinstance(field.dataType, MapType) else column)
+    return F.xxhash64(*columns)
+
+
 def simhash_report(docs: DataFrame) -> DataFrame:
-    found = near_duplicate_groups(docs, ["doc_id"])
-    return found.select(
+    return near_duplicate_groups(docs).select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -144,8 +150,21 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
-    """The document with the smallest id of each group (of equal ids, one), with its columns."""
-    found = near_duplicate_groups(docs, docs.columns, shingle=shingle, max_distance=max_distance)
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "at")
-    kept = found.groupBy("root").agg(F.min(first).alias("first")).select("first.at")
-    return found.join(stage_table(kept, "simhash-kept"), "at", "left_semi").select("row.*")
+    """The document with the smallest id of each group (of equal ids, one), with its columns.
+
+    The rows that stay are found by id and hash; of rows equal in all columns the first
+    counts. That join is the only shuffle of texts.
+    """
+    found = near_duplicate_groups(docs, shingle=shingle, max_distance=max_distance)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
+    kept = found.groupBy("root").agg(F.min(first).alias("first"))
+    kept = stage_table(kept.select(
+        F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("k_id"), F.col("first.row_key").alias("k_row")
+    ), "simhash-kept")
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), row_key(docs).alias("k_row"),
+    )
+    equal = Window.partitionBy("k_id", "k_row").orderBy("k_id", "k_row")
+    stayed = keyed.join(kept, ["k_id", "k_row"], "left_semi").withColumn("copy", F.row_number().over(equal))
+    return stayed.filter("copy = 1").select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from hookloom.llm.common import BLANKS, whole_text
+from hookloom.llm.common import BLANKS, let, whole_text
 from hookloom.session import stage_table
 
 DOMAINS = ("clean", "toxic", "poor")
@@ -39,9 +39,9 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 PRIOR_DOCS = 4.0
 CELLS = 32
-STEPS = 80
+STEPS = 60
 TOLERANCE = 1e-5
-NEARNESS = 1e-3
+NEARNESS = 1e-4
 RATE_STEP = 1 / (1 + NEARNESS)
 # No document is written more often than this, on average.
 MAX_RATE = 4.0
@@ -162,61 +162,72 @@ def fit_softmax(inputs: np.ndarray, truth: np.ndarray, steps: int = 800, shrink:
     return now
 
 
-def replayed_rate(membership: Column, steps: list[list[float]], max_rate: float = MAX_RATE) -> Column:
-    """The rate of a posterior after the gradient steps, each projected into [0, ``max_rate``]."""
+def replayed_rate(
+    membership: Column, steps: list[list[float]], max_rate: float = MAX_RATE, ahead: bool = False,
+) -> Column:
+    """The rate of a posterior after accelerated gradient steps, each projected into [0, ``max_rate``].
+
+    A step is one slope per domain and the momentum after it. ``ahead`` gives the point
+    at which the next gradient is taken.
+    """
     if not steps:
         return F.lit(1.0)
     taken = F.array(*(F.array(*(F.lit(float(value)) for value in step)) for step in steps))
 
-    def moved(rate: Column, step: Column) -> Column:
+    def moved(state: Column, step: Column) -> Column:
         slope = F.lit(0.0)
-        for j in range(len(steps[0])):
+        for j in range(len(steps[0]) - 1):
             slope = slope + membership[j] * step[j]
-        rate = rate - RATE_STEP * (slope + NEARNESS * (rate - 1))
-        return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate))
+        free = state["ahead"] - RATE_STEP * (slope + NEARNESS * (state["ahead"] - 1))
+        return let(F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), free)), lambda rate: F.struct(
+            rate.alias("rate"), (rate + step[len(steps[0]) - 1] * (rate - state["rate"])).alias("ahead")
+        ))
 
-    return F.aggregate(taken, F.lit(1.0), moved)
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    return F.aggregate(taken, start, moved, lambda state: state["ahead" if ahead else "rate"])
 
 
 def fit_rates(cells: DataFrame, targets: list[float], max_rate: float = MAX_RATE) -> list[list[float]]:
-    """The gradient steps that move all rates from one to the least-squares fit.
+    """The accelerated projected-gradient steps that move all rates from one to the least-squares fit.
 
     ``cells`` has ``membership`` (posteriors) and ``tokens``. With w the share of a cell in
     all tokens, the fit minimises half the sum over domains of (expected share - target)^2
     / scale plus NEARNESS/2 times the sum of w (rate - 1)^2. The scale of a domain is its
     share before or its target, whichever is larger, so no curvature exceeds one and a unit
-    step always descends. A step is the residuals over their scales.
+    step always descends. Slopes are the residuals over their scales.
     """
     k = len(targets)
     p = [F.col("membership")[j] for j in range(k)]
-    base = cells.agg(F.sum("tokens").alias("all"), *(
-        F.sum(F.col("tokens") * p[j]).alias(f"d{j}") for j in range(k)
-    )).first()
-    total = base["all"]
-    if not total:
-        return []
-    shares = np.array([base[f"d{j}"] / total for j in range(k)])
-    scale = np.maximum(np.maximum(shares, np.array(targets)), 1e-12)
     steps: list[list[float]] = []
+    scale, before, inertia = None, None, 1.0
     for _ in range(STEPS):
-        residual = shares - np.array(targets)
-        steps.append((residual / scale).tolist())
-        rate = replayed_rate(F.col("membership"), steps, max_rate)
-        reached = cells.select("tokens", "membership", rate.alias("rate")).agg(*(
+        rate = replayed_rate(F.col("membership"), steps, max_rate, ahead=True)
+        reached = cells.select("tokens", "membership", rate.alias("rate")).agg(F.sum("tokens").alias("all"), *(
             F.sum(F.col("tokens") * F.col("rate") * p[j]).alias(f"d{j}") for j in range(k)
         )).first()
-        before, shares = shares, np.array([reached[f"d{j}"] / total for j in range(k)])
-        if np.abs(shares - before).max() < TOLERANCE:
+        if not reached["all"]:
+            return []
+        shares = np.array([reached[f"d{j}"] / reached["all"] for j in range(k)])
+        if scale is None:
+            scale = np.maximum(np.maximum(shares, np.array(targets)), 1e-12)
+        elif np.abs(shares - before).max() < TOLERANCE:
             break
+        before, grown = shares, (1 + np.sqrt(1 + 4 * inertia ** 2)) / 2
+        steps.append([*((shares - np.array(targets)) / scale).tolist(), (inertia - 1) / grown])
+        inertia = grown
     return steps
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, carry: list[str], targets: dict[str, float] = TARGETS,
     doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, max_rate: float = MAX_RATE,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """One row per document: ``row`` (the carried columns), ``id``, ``tokens``, ``posterior``,
     ``rate`` and ``copies``.
+
+    Without ``stage_rows`` posteriors are worked out again for the result, so that no copy of
+    the carried columns is made.
     """
     if set(targets) != set(DOMAINS) or any(share < 0 for share in targets.values()) or not sum(targets.values()):
         raise ValueError(f"targets must give a share to each of {DOMAINS}")
@@ -228,7 +239,7 @@ def mix(
         return pd.Series([model.posteriors(content) for content in texts])
 
     content = whole_text(F.col(f"`{text}`"))
-    rows = stage_table(docs.select(
+    rows = docs.select(
         F.struct(*(F.col(f"`{name}`") for name in carry)).alias("row"),
         F.col(f"`{doc_id}`").alias("id"),
         F.size(F.array_remove(F.split(F.translate(content, BLANKS, " " * len(BLANKS)), " +"), "")).cast("long")
@@ -236,7 +247,9 @@ def mix(
         (F.pmod(F.xxhash64(F.lit("mix"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 32)) / float(1 << 32))
         .alias("draw"),
         posteriors(content).alias("posterior"),
-    ), "mixing-rows")
+    )
+    if stage_rows:
+        rows = stage_table(rows, "mixing-rows")
     # Posteriors on a grid, summing to one again.
     rounded = F.transform("posterior", lambda value: F.round(value * CELLS))
     rows = rows.withColumn("cell", rounded)
@@ -269,5 +282,5 @@ def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents, each as often as its rate says, with their columns."""
-    mixed = mix(docs, labels, docs.columns, targets)
+    mixed = mix(docs, labels, docs.columns, targets, stage_rows=False)
     return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, MapType
+from pyspark.sql.types import ArrayType, LongType, MapType, StructType, VariantType
 from pyspark.sql.window import Window
 
 from hookloom.llm.common import whole_text
@@ -133,11 +133,12 @@ def near_duplicate_groups(
 
 
 def row_key(docs: DataFrame) -> Column:
-    """64-bit hash of a row's columns; maps, which have no order, count by their JSON."""
+    """64-bit hash of a row's columns; nested ones, which may hold maps, count by their JSON."""
     columns = []
     for field in docs.schema:
         column = F.col(f"`{field.name}`")
-        columns.append(F.to_json(column) if isinstance(field.dataType, MapType) else column)
+        nested = isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType))
+        columns.append(F.to_json(column) if nested else column)
     return F.xxhash64(*columns)
 
 

@@ -102,6 +102,15 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(901) == 1 and 902 not in ids and ids.count(904) == 2 and ids.count(None) == 1
 
 
+def test_nested_columns_are_carried(spark):
+    docs = documents(spark, prose(1, 40), prose(1, 40), prose(2, 40)).withColumn(
+        "fp", F.struct(F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.parse_json(F.lit("[1]")).alias("v"))
+    )
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] and r["doc_id"] < 900) == [1, 3]
+
+
 def test_empty_table(spark):
     assert simhash.simhash_report(no_documents(spark)).collect() == []
     assert simhash.drop_near_duplicates(no_documents(spark)).collect() == []

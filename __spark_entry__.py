@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import importlib
-import importlib.util
 import sys
 import uuid
 from collections.abc import Callable
@@ -626,17 +625,24 @@ def _configured(query: Query) -> Query:
 
 
 def _corpus_part(name: str):
-    """A module of the corpus operators, or None where that part is not installed."""
-    if importlib.util.find_spec("hookloom.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    """A module of the corpus operators, or None where that part can not be imported."""
+    try:
+        return importlib.import_module(name)
+    except ImportError:
         return None
-    return importlib.import_module(name)
+
+
+def core_queries() -> dict[str, Query]:
+    """Queries of the webhook engine itself."""
+    return {query.__name__: _configured(query) for query in _QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    own = {query.__name__: _configured(query) for query in _QUERIES}
+    own = core_queries()
     if corpus := _corpus_part("hookloom.llm.queries"):
         own |= {name: _configured(query) for name, query in corpus.queries().items()}
-        own["pipeline"] = _configured(importlib.import_module("corpus_pipeline").run)
+        if pipeline := _corpus_part("corpus_pipeline"):
+            own["pipeline"] = _configured(pipeline.run)
     return own
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import decontaminate, html, licences, mixing, pii, quality, sharding, simhash, urls, warc
+from hookloom.llm import codes, decontaminate, html, licences, mixing, pii, quality, sharding, simhash, trie, urls, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,9 +53,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.trie_report(_table(spark, sf, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.code_report(_table(spark, sf, "embeddings"))
+
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_sharding, op2_url_filters, op3_html_extraction, op4_personal_data, op5_quality_rules,
     op6_warc_capture_index, op7_simhash_near_dedup, op8_soft_membership_mixing, op9_licence_scans, op10_benchmark_decontamination,
+    op12_conversation_trie, op13_vector_codes,
 )
 
 
@@ -64,4 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.OP2_SQL, "op9_licence_scans": licences.OP9_SQL}
+    return {
+        "op2_url_filters": urls.OP2_SQL, "op9_licence_scans": licences.OP9_SQL, "op12_conversation_trie": trie.OP12_SQL,
+        "op13_vector_codes": codes.OP13_SQL,
+    }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hookloom.llm import codes, decontaminate, html, licences, mixing, pii, quality, sharding, simhash, trie, urls, warc
+from hookloom.llm import codes, decontaminate, html, licences, mixing, pii, quality, sharding, simhash, trie, urls, warc, winnowing
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.fingerprint_report(_table(spark, sf, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
     return trie.trie_report(_table(spark, sf, "conversations"))
 
@@ -64,7 +68,7 @@ def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_sharding, op2_url_filters, op3_html_extraction, op4_personal_data, op5_quality_rules,
     op6_warc_capture_index, op7_simhash_near_dedup, op8_soft_membership_mixing, op9_licence_scans, op10_benchmark_decontamination,
-    op12_conversation_trie, op13_vector_codes,
+    op11_document_fingerprints, op12_conversation_trie, op13_vector_codes,
 )
 
 

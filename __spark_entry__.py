@@ -9,12 +9,14 @@ from __future__ import annotations
 import functools
 import importlib
 import sys
+import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -38,6 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TTL_KEYS = ["event_type", "user_id"]
 DAY = 24 * 3600
 SPLIT = "2024-01-16"
+REDELIVERY_BASE = 1.0
 
 _lookups: dict = {}
 
@@ -429,6 +432,25 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return mt.latency_histogram(rows)
 
 
+def latency_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrival to store, from the outcome and event tables of an ingested batch, as a histogram; and
+    whether the 0.99 quantile of hourly sketches, merged, lies within its error."""
+    base = _fresh(spark, "latency")
+    result = ingest(rs.mail_requests(spark, sf), lookup(spark))
+    number = F.substring("external_id", 4, 20).cast("long")
+    stored_at = F.timestamp_micros(F.unix_micros("received_at") + (number * 7919 % 12_000) * 1000)
+    sinks.write_events(result.events.withColumn("stored_at", stored_at), f"{base}/events")
+    sinks.write_outcomes(result.outcomes, f"{base}/outcomes")
+    rows = mt.store_latencies(sinks.read_table(spark, f"{base}/outcomes"), sinks.read_table(spark, f"{base}/events"))
+    by = ["source", "status"]
+    hourly = mt.latency_sketches(rows.withColumn("hour", F.date_trunc("hour", "received_at")), [*by, "hour"])
+    p99 = mt.latency_quantiles(mt.merge_sketches(hourly, by), by, [0.99]).select(*by, "seconds")
+    rank = rows.join(F.broadcast(p99), by).groupBy(*by).agg(
+        (F.abs(F.count_if(F.col("latency_seconds") <= F.col("seconds")) / F.count("*") - 0.99) < 0.01).alias("p99_within_error")
+    )
+    return mt.latency_histogram(rows, by).join(rank, by)
+
+
 def windowed_ingest_metrics(spark: SparkSession, sf: str) -> DataFrame:
     result = ingest(rs.mail_requests(spark, sf, shared_ids=True), lookup(spark))
     rows = mt.ingest_metrics(result.outcomes, "6 hours")
@@ -509,10 +531,12 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
+def _run_stream(stream: DataFrame, mode: str = "append", bounded: bool = True) -> DataFrame:
     """Run a stream over the data there is and return what it wrote."""
     spark = stream.sparkSession
     sd.stream_settings(spark, bounded=True)
+    if not bounded:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     base = f"{shared_dir(spark).rstrip('/')}/hookloom/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
@@ -523,13 +547,25 @@ def _run_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/hookloom/{name}-{uuid.uuid4().hex}"
+
+
 def stream_dedupe_ttl(spark: SparkSession, sf: str) -> DataFrame:
-    """One claim per key: the run is shorter than the TTL."""
+    """One claim per key: the run is shorter than the TTL. Whole rows are marked, by files."""
     configure(spark)
-    rows = sd.dedupe_ttl_stream(
-        _event_stream(spark, sf), keys=TTL_KEYS, ttl_seconds=DAY, time="ts", row_id="event_id"
-    )
-    return _run_stream(rows).groupBy(*TTL_KEYS).agg(
+    sd.stream_settings(spark, bounded=True)
+    base = _fresh(spark, "dedupe")
+    schema = T.StructType([f if f.name != "ts" else T.StructField("ts", T.TimestampType()) for f in rs.table(spark, sf, "events").schema])
+    rs.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{base}/events")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/marked/batch_id={batch_id}")
+
+    sd.dedupe_files(
+        spark, f"{base}/events", schema, write, f"{base}/checkpoint", DAY, TTL_KEYS, "ts", "event_id", once=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/marked").groupBy(*TTL_KEYS).agg(
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("duplicates")
     )
 
@@ -574,6 +610,20 @@ def stream_ingest_tables(spark: SparkSession, sf: str) -> DataFrame:
     return tables[0].union(tables[1]).union(tables[2]).groupBy("kind", "outcome").agg(F.count("*").alias("entries"))
 
 
+def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """Events neither stored nor dead-lettered five minutes after they arrived, as two streams are joined."""
+    configure(spark)
+    accepted = _event_stream(spark, sf).select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").alias("received_at")
+    )
+    done = _event_stream(spark, sf).filter(F.col("value") <= 50).select(
+        F.col("event_id").alias("id"), (F.col("ts") + F.make_dt_interval(mins=F.col("user_id").cast("int") % 8)).alias("done_at")
+    )
+    # An empty micro-batch after the last one moves the watermark over it.
+    overdue = _run_stream(rb.backlog_stream(accepted, done, 300, 60), bounded=False)
+    return overdue.filter(F.col("received_at") < SPLIT).select("id", "source")
+
+
 def stream_retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     failures = _event_stream(spark, sf).select(
@@ -589,6 +639,41 @@ def stream_retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_redeliver(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed messages handed on again when due: events land as failures in two files, and the
+    second run, when all of the first file's retries are due, fires their timers."""
+    configure(spark)
+    sd.stream_settings(spark, bounded=True)
+    base = _fresh(spark, "redeliver")
+    events = rs.table(spark, sf, "events")
+    failures = events.select(
+        F.concat(F.lit("msg-"), "user_id").alias("message_id"), F.col("event_type").alias("source"),
+        F.col("event_type").alias("error"), F.current_timestamp().alias("failed_at"),
+        F.col("event_id").cast("string").alias("payload"), (F.col("ts") < SPLIT).alias("early"),
+    )
+    out = None
+    for early in (True, False):
+        failures.filter(F.col("early") == early).drop("early").write.mode("append").parquet(f"{base}/failures")
+        stream = spark.readStream.schema(failures.drop("early").schema).parquet(f"{base}/failures")
+        rows = sr.redelivery_stream(stream, max_retries=3, base_seconds=REDELIVERY_BASE)
+        query = (
+            rows.writeStream.format("parquet").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        out = out or rows.schema
+        if early:
+            time.sleep(4 * REDELIVERY_BASE)  # the longest delay: base * 2^2
+    # Retries of the second file may still wait; those of the first have all come out.
+    first = events.filter(F.col("ts") < SPLIT).select(F.col("event_id").cast("string").alias("payload"))
+    done = spark.read.schema(out).parquet(f"{base}/out").withColumn("dead", F.col("action") == "dead_letter")
+    dead = done.filter("dead").groupBy("message_id").agg(F.count("*").alias("dead_letters"))
+    again = done.filter("NOT dead").join(first, "payload", "left_semi").groupBy("message_id").agg(F.count("*").alias("redelivered"))
+    return again.join(dead, "message_id", "full").select(
+        "message_id", F.coalesce("redelivered", F.lit(0)).alias("redelivered"), F.coalesce("dead_letters", F.lit(0)).alias("dead_letters")
+    )
+
+
 # --- contract ----------------------------------------------------------------------
 
 _QUERIES: tuple[Query, ...] = (
@@ -605,7 +690,7 @@ _QUERIES: tuple[Query, ...] = (
     events_ingested, ingest_errors, events_deduplicated, signature_failures, events_stored,
     latency_histogram, windowed_ingest_metrics, backlog, attempt_counts, plan_retries, dead_letters,
     events_dead_lettered, events_retried, reprocess, stream_dedupe_ttl, stream_dedupe_watermark,
-    stream_ingest, stream_retry_decisions,
+    stream_ingest, stream_retry_decisions, stream_redeliver, stream_backlog, latency_from_store,
 )
 
 

@@ -161,3 +161,104 @@ def time_thinner(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
             yield batch[keep]
 
     return thin
+
+
+def next_claims(times: np.ndarray, ttl_us: int) -> np.ndarray:
+    """For each row as a claim, the last claim of its chain within these sorted times."""
+    rows = np.arange(len(times))
+    last = np.searchsorted(times, times + ttl_us)
+    last = np.where(last < len(times), last, rows)
+    # Pointers double until all lead to ends of chains.
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return last
+        last = further
+
+
+def slice_maps(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
+    """Jump map of each slice: from when a key is free on entry to when it is free on leaving.
+
+    A slice holds a key's rows of one stretch of time, one row per instant; input is sorted by key,
+    slice and time. A map is a step function: a key free from some instant up to ``upto``, and later than
+    the entry before, is next free from ``leaves``; free only after the last entry, it
+    passes the slice unchanged. A claim before the slice ends at most a TTL after its start,
+    so rows of its first TTL are all that can be entered. Memory is one slice.
+    """
+
+    def build(batches: Batches) -> Batches:
+        for batch in whole_runs(batches, [*keys, "slice"]):
+            starts = key_starts(batch, [*keys, "slice"])
+            every = batch["us"].to_numpy()
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                times = every[start:end]
+                entries = min(np.searchsorted(times, times[0] + ttl_us - 1) + 1, len(times))
+                leaves = times[next_claims(times, ttl_us)[:entries]] + ttl_us
+                yield _map_rows(batch.iloc[start], keys, int(times[0]), times[:entries], leaves)
+
+    return build
+
+
+def _map_rows(row: pd.Series, keys: list[str], begins: int, upto: np.ndarray, leaves: np.ndarray) -> pd.DataFrame:
+    """Rows of a map, neighbouring entries with one outcome joined."""
+    last = np.append(leaves[1:] != leaves[:-1], True)
+    node = "slice" if "slice" in row.index else "node"
+    return pd.DataFrame({
+        **{key: row[key] for key in keys}, node: row[node], "begins": begins, "upto": upto[last], "leaves": leaves[last],
+    })
+
+
+def compose_maps(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
+    """Map of a node from those of its two halves, the earlier then the later.
+
+    Input has the columns of a map with its ``node`` halved and ``half`` 0 or 1, sorted by key, node, half
+    and ``upto``. Memory is the maps of two halves.
+    """
+
+    def compose(batches: Batches) -> Batches:
+        for batch in whole_runs(batches, [*keys, "node"]):
+            starts = key_starts(batch, [*keys, "node"])
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                both = batch.iloc[start:end]
+                second = both["half"].to_numpy() == 1
+                upto, leaves = both["upto"].to_numpy(), both["leaves"].to_numpy()
+                begins = int(both["begins"].iloc[0])
+                if second.any() and not second.all():
+                    first_upto, first_leaves = upto[~second], leaves[~second]
+                    later_upto, later_leaves = upto[second], leaves[second]
+                    at = np.searchsorted(later_upto, first_leaves)
+                    met = at < len(later_upto)
+                    through = np.where(met, later_leaves[np.minimum(at, len(later_upto) - 1)], first_leaves)
+                    # Keys free too late for the first half enter the second, as far as its entries can be reached.
+                    skips = later_upto > first_upto[-1]
+                    reach = np.searchsorted(later_upto[skips], begins + ttl_us - 1) + 1
+                    upto = np.append(first_upto, later_upto[skips][:reach])
+                    leaves = np.append(through, later_leaves[skips][:reach])
+                yield _map_rows(both.iloc[0], keys, begins, upto, leaves)
+
+    return compose
+
+
+def slice_marker(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]:
+    """The claims of each slice, whose key is free from ``entry``; sorted by key, slice and time. Memory is one batch."""
+
+    def mark(batches: Batches) -> Batches:
+        last_run, free_from = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            times, entry = batch["us"].to_numpy(), batch["entry"].to_numpy()
+            runs = [batch[c].to_numpy() for c in (*keys, "slice")]
+            starts = key_starts(batch, [*keys, "slice"])
+            ends = np.append(starts[1:], len(batch))
+            free = entry[starts].copy()
+            if tuple(run[0] for run in runs) == last_run:
+                free[0] = free_from
+            rows = np.array([s + np.searchsorted(times[s:e], f) for s, e, f in zip(starts, ends, free)])
+            claimed = follow_claims(times, starts, ends, rows, ttl_us)
+            of_last = np.flatnonzero(claimed[starts[-1]:])
+            free_from = times[starts[-1] + of_last[-1]] + ttl_us if len(of_last) else free[-1]
+            last_run = tuple(run[-1] for run in runs)
+            yield pd.DataFrame({"request_id": batch["request_id"][claimed]})
+
+    return mark

@@ -11,7 +11,11 @@ Only keys and times are shuffled, never payloads:
    claim, its first row: decided by that aggregate;
 3. other keys are walked in time order, a partition of keys per task;
 4. a hot key among those is first cut into range partitions and thinned to the rows a
-   chain of claims can reach, which leaves the result unchanged.
+   chain of claims can reach, which leaves the result unchanged. With staging it is then
+   decided in slices of time by a parallel prefix: each slice maps when the key is free on
+   entry to when it is free on leaving, maps of neighbours are composed pairwise, and each
+   slice, told its entry, marks its rows alone. A key whose rows repeat periodically, which
+   thinning can not reduce, is thus spread over as many tasks as it has slices.
 
 The ids of duplicates, usually few, are then joined to the rows.
 """
@@ -21,10 +25,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hookloom.functions.claims import claim_marker, offset_thinner, time_thinner
+from hookloom.functions.claims import claim_marker, compose_maps, offset_thinner, slice_maps, slice_marker, time_thinner
+from hookloom.session import stage_table
 
 DAY = 24 * 3600
 EVENT_KEYS = ("source", "external_id")
@@ -80,7 +86,8 @@ def ttl_duplicates(
 ) -> DataFrame:
     """Ids of the rows that are duplicates, as `request_id`.
 
-    ``row_id`` must be unique; it also breaks ties of time. ``history`` holds rows
+    ``row_id`` must be unique; it also breaks ties of time. Rows without a time claim nothing
+    and are no duplicates. ``history`` holds rows
     accepted by earlier runs. ``rows`` is read more than once, with only its keys, time
     and id: give it a written table when it is costly to compute. ``stage`` writes a table
     and reads it back; with it the rows of repeated keys are found once, not once for each
@@ -88,7 +95,7 @@ def ttl_duplicates(
     """
     keys = list(keys)
     ttl_us = int(ttl_seconds * 1_000_000)
-    slim = rows.filter(has_key(rows, keys)).select(
+    slim = rows.filter(has_key(rows, keys) & F.col(time).isNotNull()).select(
         *keys, F.unix_micros(time).alias("us"), F.col(row_id).alias("request_id")
     )
     found = []
@@ -126,7 +133,11 @@ def ttl_duplicates(
     )
     hot = walked.filter(F.col("n") > hot_rows).select(*row)
     if stage is None or not hot.isEmpty():
-        hot_claims = _claims(_thinned(hot, keys, ttl_us), keys, ttl_us).filter("claimed")
+        thinned = _thinned(hot, keys, ttl_us)
+        if stage is None:
+            hot_claims = _claims(thinned, keys, ttl_us).filter("claimed")
+        else:
+            hot_claims = sliced_claims(thinned, keys, ttl_us)
         found.append(hot.join(hot_claims, "request_id", "left_anti").select("request_id"))
 
     duplicates = found[0]
@@ -164,6 +175,54 @@ def _thinned(slim: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     )
 
 
+def sliced_claims(rows: DataFrame, keys: Sequence[str], ttl_us: int) -> DataFrame:
+    """Ids of the claims among ``rows`` (keys, ``us``, ``request_id``; one row per key and instant).
+
+    No task sees more than a slice, a range partition of one key. The tables of the
+    rounds, whose number is the logarithm of a key's slices, go to the shared folder.
+    """
+    keys = list(keys)
+    ends = rows.repartitionByRange(*keys, "us").withColumn("slice", F.spark_partition_id())
+    slices = stage_table(ends, "claim-slices")
+    ordered = slices.repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "us")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = ", ".join(f"`{key}` {types[key]}" for key in keys)
+    schema = f"{named}, node int, begins long, upto long, leaves long"
+    maps = stage_table(ordered.mapInPandas(slice_maps(keys, ttl_us), schema.replace("node", "slice")), "claim-maps")
+    # Slices of a key, at most one a partition, numbered in order of time.
+    position = Window.partitionBy(*keys).orderBy("slice")
+    numbered = maps.select(*keys, "slice").distinct().withColumn("node", F.row_number().over(position) - 1)
+    numbered = stage_table(numbered, "claim-nodes")
+    level = maps.join(numbered, [*keys, "slice"]).select(*keys, "node", "begins", "upto", "leaves")
+    most = numbered.agg(F.max("node")).first()[0]
+    levels = []
+    while most is not None and most > 0:
+        level = stage_table(level, "claim-level") if levels else level
+        levels.append((level, most))
+        halves = level.withColumn("half", F.col("node") % 2).withColumn("node", F.expr("node div 2").cast("int"))
+        level = halves.repartition(*keys, "node").sortWithinPartitions(*keys, "node", "half", "upto").mapInPandas(
+            compose_maps(keys, ttl_us), schema
+        )
+        most //= 2
+    # From the whole key's entry down to that of each slice.
+    entries = numbered.select(*keys).distinct().select(*keys, F.lit(0).alias("node"), F.lit(-(2**62)).alias("entry"))
+    for level, _ in reversed(levels):
+        entries = stage_table(entries, "claim-entries")
+        here = entries.select(*keys, (F.col("node") * 2).alias("node"), "entry")
+        passed = here.join(level, [*keys, "node"]).groupBy(*keys, "node", "entry").agg(
+            F.min(F.when(F.col("upto") >= F.col("entry"), F.struct("upto", "leaves"))).alias("step")
+        )
+        after = passed.select(*keys, (F.col("node") + 1).alias("node"), F.coalesce("step.leaves", "entry").alias("entry"))
+        # The last node of a level may have no right neighbour.
+        there = level.select(*keys, "node").distinct()
+        entries = here.unionByName(after.join(there, [*keys, "node"], "left_semi"))
+    told = entries.join(numbered, [*keys, "node"]).select(*keys, "slice", "entry")
+    marked = slices.join(told, [*keys, "slice"])
+    return marked.repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "us").mapInPandas(
+        slice_marker(keys, ttl_us), "request_id string"
+    )
+
+
 def mark_duplicates(rows: DataFrame, duplicates: DataFrame, row_id: str = "request_id") -> DataFrame:
     """Add boolean `accepted` from the ids of duplicates."""
     marked = duplicates.select(F.col("request_id").alias(row_id), F.lit(True).alias("_duplicate"))

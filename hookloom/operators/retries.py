@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,34 +15,36 @@ from hookloom.schemas import REQUESTS
 MAX_RETRIES = 5
 
 
-def attempt_counts(failures: DataFrame, window_seconds: float = DAY, failure_id: str = "failure_id") -> DataFrame:
+def attempt_counts(
+    failures: DataFrame, window_seconds: float = DAY, failure_id: str = "failure_id",
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Attempts per message as its expiring counter shows them.
 
     The counter starts at a message's first failure, lives ``window_seconds`` without
     being extended, and starts again with the next failure. A start thus is a claim of
     the message with that TTL; failures since the last start are counted. The last
-    failure's source, error, payload and, where there are any, request headers are kept.
+    failure's source, error, payload and, where there are any, request headers are kept:
+    only ids and times are shuffled to find it. ``stage`` writes a table and reads it back, so that
+    failures are read twice, once for ids and times and once for what is kept.
     """
-    slim = failures.select("message_id", "failed_at", failure_id)
+    slim = failures.select("message_id", "failed_at", F.col(failure_id).alias("failure_id"))
+    slim = slim if stage is None else stage(slim)
     repeats = ttl_duplicates(
-        slim, keys=["message_id"], ttl_seconds=window_seconds, time="failed_at", row_id=failure_id
-    )
-    starts = slim.join(
-        repeats.withColumnRenamed("request_id", failure_id), failure_id, "left_anti"
+        slim, keys=["message_id"], ttl_seconds=window_seconds, time="failed_at", row_id="failure_id", stage=stage
     )
+    starts = slim.join(repeats.withColumnRenamed("request_id", "failure_id"), "failure_id", "left_anti")
     last_start = starts.groupBy("message_id").agg(F.max("failed_at").alias("counter_start"))
-    last = F.struct("failed_at", failure_id)
-    carried = [name for name in ("source", "error", "payload", "headers") if name in failures.columns]
-    return (
-        failures.join(last_start, "message_id")
+    counted = (
+        slim.join(last_start, "message_id")
         .filter(F.col("failed_at") >= F.col("counter_start"))
         .groupBy("message_id")
-        .agg(
-            F.count("*").alias("attempts"),
-            F.max("failed_at").alias("failed_at"),
-            *(F.max_by(name, last).alias(name) for name in carried),
-        )
+        .agg(F.count("*").alias("attempts"), F.max(F.struct("failed_at", "failure_id")).alias("last"))
+        .select("message_id", "attempts", "last.failed_at", F.col("last.failure_id").alias("last_failure"))
     )
+    carried = [name for name in ("source", "error", "payload", "headers") if name in failures.columns]
+    details = failures.select(F.col(failure_id).alias("last_failure"), *carried)
+    return counted.join(details, "last_failure").select("message_id", "attempts", "failed_at", *carried)
 
 
 def effective_limit(max_retries: int) -> int:

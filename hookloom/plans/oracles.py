@@ -401,4 +401,18 @@ ORACLES: dict[str, str] = {
         SELECT 'msg-' || user_id AS message_id, count(*) - count(*) // 3 AS retries,
           count(*) // 3 AS dead_letters
         FROM events GROUP BY 1""",
+    "stream_backlog": """
+        SELECT event_id AS id, event_type AS source FROM events
+        WHERE ts < TIMESTAMP '2024-01-16' AND (value IS NULL OR value > 50 OR user_id % 8 > 5)""",
+    "latency_from_store": " UNION ALL ".join(
+        f"""SELECT 'sendgrid' AS source, 202 AS status, '{le}' AS le,
+          count(*) FILTER ((event_id * 7919 % 12000) / 1000 <= {bound}) AS requests, true AS p99_within_error FROM events"""
+        for le, bound in [*((le, le) for le in BOUNDS), ("+Inf", 1e9)]
+    ),
+    "stream_redeliver": """
+        WITH counted AS (
+          SELECT 'msg-' || user_id AS message_id, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS early, count(*) AS n
+          FROM events GROUP BY 1)
+        SELECT message_id, early - early // 3 AS redelivered, n // 3 AS dead_letters
+        FROM counted WHERE early > 0 OR n >= 3""",
 }

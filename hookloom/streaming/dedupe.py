@@ -1,16 +1,25 @@
-"""Deduplication on streams: exact with keyed state, or cheaper with a watermark."""
+"""Deduplication on streams: exact with keyed state, or cheaper with a watermark.
+
+Exact deduplication keeps payloads out of the state: what enters it is a row's key, time and
+id. The state's answer is the ids of accepted rows and the names of the files they came
+from; whole rows of those files are then marked in each micro-batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hookloom.operators.dedupe import DAY, EVENT_KEYS, has_key
+from hookloom.session import shared_dir, stage_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,93 +32,101 @@ def stream_settings(spark, bounded: bool = False) -> None:
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Accepts the first arrival of a key and forgets the key when its TTL has run out."""
+    """Answers with a key's first arrival and forgets the key when its TTL has run out."""
 
-    def __init__(self, ttl_seconds: float, columns: list[str], time: str, row_id: str) -> None:
+    def __init__(self, ttl_seconds: float) -> None:
         self.ttl_ms = int(ttl_seconds * 1000)
-        self.columns, self.time, self.row_id = columns, time, row_id
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "claimed boolean", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # Names that are no Python identifiers arrive replaced.
-        batches = (batch.set_axis(self.columns, axis=1) for batch in rows)
-        if key[-1] != 0:
-            # Never a claim: without a key, or later than another row of the same batch.
-            for batch in batches:
-                yield self.marked(batch, batch["_keyless"])
-            return
-        # At most one row per Arrow batch comes here. State is written only when absent,
-        # so a repeat does not extend the claim.
-        claimed = self.seen.exists()
-        batch = pd.concat(list(batches)).sort_values([self.time, self.row_id])
-        if not claimed:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        if key[-1] is not None:
+            yield Row(row_id=None, file=key[-1])  # a file that was read, not a claim
+        # Written only when absent, so a repeat does not extend the claim.
+        elif not self.seen.exists():
             self.seen.update((True,))
-        yield self.marked(batch, [not claimed] + [False] * (len(batch) - 1))
-
-    def marked(self, batch: pd.DataFrame, accepted) -> pd.DataFrame:
-        return batch.assign(accepted=accepted).drop(columns=["_spread", "_keyless"])
+            yield Row(row_id=min((row["at"], row["row_id"]) for row in rows)[1], file=None)
 
     def close(self) -> None:
         pass
 
 
-def _first_per_key(keys: Sequence[str], time: str, row_id: str, spread: int):
-    """Give rows that are not the first of their key in an Arrow batch a spread group.
+def _first_per_key(keys: Sequence[str]):
+    """The first row of each key in an Arrow batch, and a row per file it came from.
 
-    All rows of a micro-batch arrive at one instant of the processing clock, so at most
-    one of a key is a claim. The others need no state: this keeps a hot key's rows, and
-    rows without a key, from meeting in one task.
+    All rows of a micro-batch arrive at one instant of the processing clock, so at most one
+    of a key is a claim. Later ones need no state; leaving them out here keeps a hot key's rows
+    from meeting in one task.
     """
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values([time, row_id], kind="stable")
-            later = batch.duplicated(keys) | batch["_keyless"]
-            slots = pd.util.hash_array(batch[row_id].astype(str).to_numpy()) % spread
-            yield batch.assign(_spread=(slots.astype("int64") + 1).astype("int32") * later.astype("int32"))
+            claims = batch[batch["eligible"]].sort_values(["at", "row_id"], kind="stable").drop_duplicates(keys)
+            files = batch.drop_duplicates("file")[["file"]]
+            rows = pd.concat([claims.assign(file=None), files]).reindex(columns=[*keys, "at", "row_id", "file"])
+            yield rows.astype({"at": "Int64"}).astype(object).where(rows.notna(), None)
 
-    return mark
+    return first
 
 
-def dedupe_ttl_stream(
-    events: DataFrame, ttl_seconds: float = DAY, keys: Sequence[str] = EVENT_KEYS,
-    time: str = "received_at", row_id: str = "request_id",
+def accepted_claims(
+    rows: DataFrame, ttl_seconds: float = DAY, keys: Sequence[str] = EVENT_KEYS, time: str = "received_at",
+    row_id: str = "request_id", eligible: Column | None = None, file: Column | None = None,
 ) -> DataFrame:
-    """Streaming rows with boolean `accepted`; duplicates are passed on, marked.
+    """Ids of streaming rows that claim their key, as ``row_id``, and the ``file`` names seen.
 
-    Expiry follows the processing clock, as arrival does. Variant columns travel as JSON
-    text and are variants again in the result. Call `stream_settings` first.
+    Rows that are not ``eligible`` (by default, have no key) claim nothing. A row of the result holds
+    either an id or a file name. Expiry follows the processing clock, as arrival does; ties in a
+    micro-batch go to the earliest ``time``, then the smallest id. Call `stream_settings` first.
     """
-    variants = [f.name for f in events.schema if isinstance(f.dataType, T.VariantType)]
-    maps = [
-        f.name for f in events.schema
-        if isinstance(f.dataType, T.MapType) and isinstance(f.dataType.valueType, T.VariantType)
-    ]
-    flat = events
-    for name in variants + maps:
-        flat = flat.withColumn(name, F.to_json(name))
-    flat = flat.withColumn("_keyless", ~has_key(flat, keys))
-    schema = T.StructType([*flat.schema.fields, T.StructField("_spread", T.IntegerType())])
-    # Rows that need no state go to as many groups as there are shuffle partitions.
-    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = _first_per_key(list(keys), time, row_id, spread)
-    grouped = flat.mapInPandas(first, schema).groupBy(*keys, "_spread")
-    output = T.StructType([
-        *[f for f in flat.schema.fields if f.name != "_keyless"],
-        T.StructField("accepted", T.BooleanType()),
-    ])
-    marked = grouped.transformWithStateInPandas(
-        statefulProcessor=ClaimProcessor(ttl_seconds, schema.names, time, row_id),
-        outputStructType=output,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+    named = [f"key{i}" for i in range(len(keys))]
+    eligible = has_key(rows, keys) if eligible is None else eligible & has_key(rows, keys)
+    slim = rows.select(
+        *(F.col(key).cast("string").alias(name) for key, name in zip(keys, named)), F.unix_micros(time).alias("at"),
+        F.col(row_id).cast("string").alias("row_id"), F.coalesce(eligible, F.lit(False)).alias("eligible"),
+        (F.lit("") if file is None else file).alias("file"),
     )
-    for name in variants:
-        marked = marked.withColumn(name, F.parse_json(name))
-    for name in maps:
-        marked = marked.withColumn(name, F.parse_json(name).cast("map<string,variant>"))
-    return marked.select(*events.columns, "accepted")
+    # A row is a claim or a file, so every column may be null.
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in slim.schema if f.name != "eligible"])
+    return slim.mapInPandas(_first_per_key(named), schema).groupBy(*named, "file").transformWithState(
+        statefulProcessor=ClaimProcessor(ttl_seconds), outputStructType="row_id string, file string",
+        outputMode="Append", timeMode="ProcessingTime",
+    )
+
+
+def dedupe_files(
+    spark: SparkSession, path: str, schema: T.StructType, write: Callable[[DataFrame, int], None], checkpoint: str,
+    ttl_seconds: float = DAY, keys: Sequence[str] = EVENT_KEYS, time: str = "received_at", row_id: str = "request_id",
+    eligible: Callable[[DataFrame], Column] | None = None, once: bool = False, **options,
+) -> StreamingQuery:
+    """Deduplicate parquet files as they arrive: ``write(rows, batch_id)`` gets whole rows with boolean ``accepted``.
+
+    The state sees only keys, times and ids, read from those columns of the files. A
+    micro-batch's whole rows are then read from its files and marked by a join with the accepted ids;
+    a file is never split between micro-batches. Rows without a key or not ``eligible`` come out accepted.
+    ``row_id`` must be unique. Options go to the file source.
+    """
+    stream_settings(spark)
+    stream = spark.readStream.schema(schema).options(**options).parquet(path)
+    may_claim = eligible(stream) if eligible else None
+    claims = accepted_claims(stream, ttl_seconds, keys, time, row_id, may_claim, F.col("_metadata.file_path"))
+    # One folder for the ids of a micro-batch, overwritten by the next.
+    staged = f"{shared_dir(spark).rstrip('/')}/hookloom/claims-{uuid.uuid4().hex}"
+
+    def mark(batch: DataFrame, batch_id: int) -> None:
+        found = stage_table(batch, "claims", staged)
+        files = [unquote(row.file) for row in found.filter("file IS NOT NULL").select("file").distinct().collect()]
+        if not files:
+            return
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*sorted(files))
+        claimed = found.filter("row_id IS NOT NULL").select(F.col("row_id").alias("_claimed"))
+        joined = rows.join(claimed, rows[row_id].cast("string") == F.col("_claimed"), "left")
+        claims_key = has_key(rows, keys) if eligible is None else eligible(rows) & has_key(rows, keys)
+        accepted = F.col("_claimed").isNotNull() | ~F.coalesce(claims_key, F.lit(False))
+        write(joined.select(*rows.columns, accepted.alias("accepted")), batch_id)
+
+    writer = claims.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def dedupe_watermark(
@@ -117,7 +134,7 @@ def dedupe_watermark(
 ) -> DataFrame:
     """Accepted rows only, by event time and without Python workers.
 
-    Looser than `dedupe_ttl_stream`: a key expires with the watermark, so it may live
+    Looser than keyed state: a key expires with the watermark, so it may live
     longer than the TTL, and rows behind the watermark are dropped. Rows without a key
     must be split off before.
     """

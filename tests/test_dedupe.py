@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hookloom.functions.claims import follow_claims
+from hookloom.functions.claims import compose_maps, follow_claims, slice_maps, slice_marker
 from hookloom.operators import dedupe as dd
 from hookloom.session import stage_table
 
@@ -160,3 +161,57 @@ def test_time_thinner_is_exact_for_any_batches():
         batches = (rows.iloc[at:at + size] for at in range(0, len(rows), size))
         got = pd.concat(time_thinner(["k"], 12)(batches))
         assert got[["k", "us"]].values.tolist() == pd.concat(want)[["k", "us"]].values.tolist()
+
+
+def staged(df):
+    return stage_table(df, "test")
+
+
+@pytest.mark.parametrize("ttl,each", [(1000, 40), (1000, 1), (7, 3), (100_000, 300)])
+def test_periodic_hot_key_is_decided_in_slices(sliced, ttl, each):
+    """Rows that come at the same offsets in every TTL: thinning keeps them, slices share them."""
+    rng = random.Random(each)
+    offsets = sorted(rng.sample(range(ttl), min(each, ttl)))
+    periods = 4000 // each
+    rows = [("hot", p * ttl + o, f"r{p:05d}-{o}") for p in range(periods) for o in offsets]
+    rows += [("warm", i * 11, f"w{i:05d}") for i in range(300)] + [("cold", 3, "c")]
+    got = accepted_ids(dd.dedupe_ttl(table(sliced, rows), ttl_seconds=ttl, hot_rows=100, stage=staged))
+    assert got == by_rule(rows, ttl)
+
+
+def test_slices_share_a_periodic_key_evenly(sliced):
+    rows = [("hot", i * 10, f"r{i:06d}") for i in range(40_000)]
+    slim = table(sliced, rows).select("external_id", F.unix_micros("received_at").alias("us"), "request_id")
+    thinned = dd._thinned(slim, ["external_id"], 25 * 10**6)
+    assert thinned.count() > len(rows) / 2  # thinning does not help here
+    claims = dd.sliced_claims(thinned, ["external_id"], 25 * 10**6)
+    assert {r.request_id for r in claims.collect()} == by_rule(rows, 25)
+    shares = [r["count"] for r in claims.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 3 and max(shares) < 0.5 * sum(shares)
+
+
+@settings(max_examples=200, deadline=None)
+@given(times=st.sets(st.integers(0, 400), min_size=1), cuts=st.sets(st.integers(1, 60), max_size=9), ttl=st.sampled_from([1, 3, 20, 90, 1000]))
+def test_maps_of_slices_compose(times, cuts, ttl):
+    """Any cut into slices gives the claims of one walk; maps composed pairwise give the same entries."""
+    times = sorted(times)
+    slices = [part.tolist() for part in np.split(np.array(times), sorted(c for c in cuts if c < len(times))) if len(part)]
+    rows = pd.DataFrame([("k", s, t, f"r{t}") for s, part in enumerate(slices) for t in part], columns=["k", "slice", "us", "request_id"])
+    maps = pd.concat(list(slice_maps(["k"], ttl)(iter([rows])))).rename(columns={"slice": "node"})
+    entries, level, levels = {0: -(2**62)}, maps, []
+    while level["node"].max() > 0:
+        levels.append(level)
+        halves = level.assign(half=level["node"] % 2, node=level["node"] // 2).sort_values(["node", "half", "upto"])
+        # In batches that cut through nodes.
+        level = pd.concat(list(compose_maps(["k"], ttl)(halves.iloc[i:i + 3] for i in range(0, len(halves), 3))))
+    for level in reversed(levels):
+        below = {}
+        for node, entry in entries.items():
+            below[2 * node] = entry
+            if (level["node"] == 2 * node + 1).any():
+                own = level[(level["node"] == 2 * node) & (level["upto"] >= entry)]
+                below[2 * node + 1] = own["leaves"].iloc[0] if len(own) else entry
+        entries = below
+    told = rows.assign(entry=rows["slice"].map(entries))
+    marked = pd.concat(list(slice_marker(["k"], ttl)(told.iloc[i:i + 4] for i in range(0, len(told), 4))))
+    assert set(marked["request_id"]) == by_rule([("k", t, f"r{t}") for t in times], ttl)

@@ -162,3 +162,88 @@ def test_numeric_looking_sources_come_back_as_written(spark, tmp_path):
     back = sinks.read_table(spark, str(tmp_path / "events"))
     assert sorted((r.id, r.source) for r in back.collect()) == [("a", "007"), ("b", "7"), ("c", "1e3")]
     assert dict(back.dtypes)["batch_id"] == "bigint"
+
+
+def scanned_rows(df):
+    """Rows that the files gave, after row groups were ruled out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_a_lookup_by_id_reads_few_row_groups(spark, tmp_path):
+    import hashlib
+
+    path = str(tmp_path / "events")
+    ids = [hashlib.md5(str(i).encode()).hexdigest() for i in range(60_000)]
+    rows = spark.createDataFrame([(i, "s", f"r{n}") for n, i in enumerate(ids)], "id string, source string, request_id string")
+    sinks.write_events(rows.repartition(60), path)
+    table = sinks.read_table(spark, path)
+    wanted = [*ids[::6000], "unknown"]
+    found = rb.rows_with_ids(table, wanted)
+    assert sorted(r.id for r in found.collect()) == sorted(ids[::6000])
+    # Ten ids lie in ten of sixty files at most; the filters of the others rule them out.
+    assert scanned_rows(found) <= 15 * 1000 < table.count() / 3
+    asked = spark.createDataFrame([(i,) for i in [*wanted, wanted[0], None]], "id string")
+    got = {r.id: r.request_id for r in rb.event_by_id(table, asked).collect()}
+    assert got == {**{ids[n]: f"r{n}" for n in range(0, 60_000, 6000)}, "unknown": None, None: None}
+    many = spark.createDataFrame([(i,) for i in ids[:200]], "id string")
+    assert rb.event_by_id(table, many).filter("request_id IS NOT NULL").count() == 200
+
+
+def test_trim_scans_the_table_twice_to_find_the_cutoff_and_once_to_filter(spark, tmp_path):
+    import random
+
+    draw = random.Random(1)
+    rows = [(f"{i:05d}", draw.choice("abc"), draw.randrange(10**6)) for i in range(30_000)]
+    rows += [(f"x{i:05d}", "tied", 5) for i in range(5000)] + [("old", "a", None), ("few", "d", 1)]
+    table = spark.createDataFrame(rows, "id string, source string, n long").withColumn("stored_at", F.timestamp_micros("n"))
+    table.write.parquet(str(tmp_path / "t"))
+    stored_table = spark.read.parquet(str(tmp_path / "t"))
+    for n in (1, 100, 4999, 5000, 9000):
+        want = set()
+        for source in ("a", "b", "c", "tied", "d"):
+            own = [(n_, i) for i, s, n_ in rows if s == source]
+            want |= {i for _, i in sorted(own, key=lambda r: (-1 if r[0] is None else r[0], r[1]))[-n:]}
+        kept = rb.trim_events(stored_table, n)
+        assert {r.id for r in kept.collect()} == want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
+    kept = rb.trim_table(stored_table, 777, "stored_at", "id")
+    ordered = sorted(((-1 if n_ is None else n_, i) for i, _, n_ in rows))[-777:]
+    assert {r.id for r in kept.collect()} == {i for _, i in ordered}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    assert rb.trim_table(stored_table.limit(0), 5, "stored_at", "id").count() == 0
+    assert rb.trim_events(stored_table, 10**6).count() == len(rows)
+
+
+def test_a_sketch_that_misses_is_made_good(spark):
+    """With a tiny sketch brackets are wide or wrong; results are the same."""
+    rows = [(f"{i:05d}", "s" if i % 3 else None, (i * 7919) % 10007) for i in range(10_000)]
+    table = spark.createDataFrame(rows, "id string, source string, n long").withColumn("stored_at", F.timestamp_micros("n"))
+    brackets = spark.createDataFrame([("s", 10, 20), (None, 10_006, 20_000)], "source string, low long, high long")
+    slim = table.select("source", F.unix_micros("stored_at").alias("us"), "id")
+    assert rb._ranked_cutoffs(slim, brackets, 100, ["source"]).count() == 0
+    kept = rb.newest_per_group(table, 100, sketch_size=8).collect()
+    for source in ("s", None):
+        own = sorted((n, i) for i, s, n in rows if s == source)[-100:]
+        assert sorted(r.id for r in kept if r.source == source) == sorted(i for _, i in own)
+
+
+def test_latency_quantiles_of_merged_sketches(spark):
+    rows = spark.createDataFrame([("s", 202, i % 24, i / 1000) for i in range(20_000)], "source string, status int, hour int, latency_seconds double")
+    by = ["source", "status"]
+    merged = mt.merge_sketches(mt.latency_sketches(rows, [*by, "hour"]), by)
+    got = {r.quantile: r.seconds for r in mt.latency_quantiles(merged, by).collect()}
+    assert all(abs(got[q] - q * 20) < 0.2 for q in (0.5, 0.95, 0.99)) and merged.first()["requests"] == 20_000
+
+
+def test_store_latencies(spark):
+    outcomes = spark.createDataFrame(
+        [("e1", "s", 202, "accepted", 10), ("e2", "s", 202, "accepted", 20), ("e3", "s", 200, "duplicate", 30), (None, "s", 400, "invalid_json", 5)],
+        "event_id string, source string, status int, outcome string, n long").withColumn("received_at", F.timestamp_seconds("n"))
+    events = spark.createDataFrame([("e1", 10_250), ("e1", 99_000), ("e3", 31_000)], "id string, ms long").withColumn(
+        "stored_at", F.timestamp_millis("ms"))
+    got = mt.store_latencies(outcomes, events).collect()
+    assert [(r.event_id, r.status, r.latency_seconds) for r in got] == [("e1", 202, 0.25)]

@@ -28,9 +28,12 @@ from hookloom.operators import readback as rb
 from hookloom.operators import retries as rt
 from hookloom.plans import request_sets as rs
 from hookloom.plans.ingest import dead_letter_table, ingest, outcome_table, reprocess_dead_letters
-from hookloom.session import configure, shared_dir
+from hookloom.session import configure, shared_dir, stage_table
 from hookloom.sources import sinks
 from hookloom.sources.catalog import load_spec_catalog
+from hookloom.sources.commits import write_batch
+from hookloom.sources.landing import land_requests
+from hookloom.sources.retention import retain_newest
 from hookloom.streaming import dedupe as sd
 from hookloom.streaming import ingest as si
 from hookloom.streaming import retries as sr
@@ -232,7 +235,8 @@ def dedupe_ttl_events(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_ttl_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     """The same with few, large keys, all cut into slices."""
     rows = dd.dedupe_ttl(
-        _timed_events(spark, sf), keys=["event_type"], ttl_seconds=3600, time="ts", hot_rows=100
+        _timed_events(spark, sf), keys=["event_type"], ttl_seconds=3600, time="ts", hot_rows=100,
+        stage=lambda df: stage_table(df, "repeated"),
     )
     return rows.select("event_id", "accepted")
 
@@ -324,6 +328,23 @@ def trim_events(spark: SparkSession, sf: str) -> DataFrame:
     return rb.trim_events(rs.stored_events(spark, sf), 1200).select("id", "source")
 
 
+def retain_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Four committed batches of events, of which only those at the edge of the history are rewritten."""
+    base = _fresh(spark, "retain")
+    events = rs.stored_events(spark, sf)
+    batch = F.floor((F.day("stored_at") - 1) / 8)
+    for number in range(4):
+        rows = events.filter(batch == number)
+
+        def write(attempt: str) -> dict[str, None]:
+            sinks.write_events(rows, f"{base}/events", number, attempt=attempt)
+            return {"events": None}
+
+        write_batch(spark, base, number, write)
+    retain_newest(spark, base, n=1200)
+    return sinks.read_table(spark, f"{base}/events").select("id", "source")
+
+
 def trim_queue(spark: SparkSession, sf: str) -> DataFrame:
     return rb.trim_table(rs.stored_events(spark, sf), 3000, "stored_at", "id").select("id")
 
@@ -592,6 +613,20 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("external_id", "type", ntz("timestamp"))
 
 
+def stream_ingest_landings(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat webhooks landed in committed batches, two of them a micro-batch, cleared once ingested."""
+    base = _fresh(spark, "landings")
+    requests = rs.chat_requests(spark, sf)
+    for number in range(3):
+        land_requests(requests.filter(F.pmod(F.crc32("request_id"), F.lit(3)) == number), f"{base}/in", number)
+    query = si.ingest_landings(
+        spark, f"{base}/in", lookup(spark), f"{base}/out", f"{base}/checkpoint", max_batches=2, clear=True, once=True
+    )
+    query.awaitTermination()
+    stored = sinks.read_table(spark, f"{base}/out/events")
+    return stored.select("external_id", "type", ntz("timestamp"))
+
+
 def stream_ingest_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Documents ingested as a stream; entries of the three tables it writes."""
     from hookloom.sources.requests import stream_requests
@@ -691,6 +726,7 @@ _QUERIES: tuple[Query, ...] = (
     latency_histogram, windowed_ingest_metrics, backlog, attempt_counts, plan_retries, dead_letters,
     events_dead_lettered, events_retried, reprocess, stream_dedupe_ttl, stream_dedupe_watermark,
     stream_ingest, stream_retry_decisions, stream_redeliver, stream_backlog, latency_from_store,
+    retain_events, stream_ingest_landings,
 )
 
 

@@ -99,9 +99,10 @@ def offset_thinner(keys: list[str], ttl_us: int) -> Callable[[Batches], Batches]
 
     Time is cut into buckets one TTL wide, so a bucket holds at most one claim, and a
     claim at some offset is followed by the first row of the next bucket at that offset
-    or later. A slice holds all rows of a key with offsets in one range, so a chain
-    enters it in a bucket at the slice's first row there, or comes from the slice's own
-    rows in the bucket before. Input is sorted by key, bucket, offset.
+    or later. In each bucket a slice holds the rows of a key with offsets in one range, the
+    same one but for an offset that two slices share, so a chain enters it in a bucket at the
+    slice's first row there, or comes from the slice's own rows in the bucket before. Input is
+    sorted by key, bucket, offset.
     """
 
     def thin(batches: Batches) -> Batches:

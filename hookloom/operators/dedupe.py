@@ -133,9 +133,9 @@ def ttl_duplicates(
     )
     hot = walked.filter(F.col("n") > hot_rows).select(*row)
     if stage is None or not hot.isEmpty():
-        thinned = _thinned(hot, keys, ttl_us)
+        thinned = _thinned_by_offset(hot, keys, ttl_us)
         if stage is None:
-            hot_claims = _claims(thinned, keys, ttl_us).filter("claimed")
+            hot_claims = _claims(_thinned_by_time(thinned, keys, ttl_us), keys, ttl_us).filter("claimed")
         else:
             hot_claims = sliced_claims(thinned, keys, ttl_us)
         found.append(hot.join(hot_claims, "request_id", "left_anti").select("request_id"))
@@ -151,27 +151,31 @@ def _claims(slim: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     return ordered.mapInPandas(claim_marker(keys, ttl_us), "request_id string, claimed boolean")
 
 
-def _thinned(slim: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
-    """The rows of hot keys a chain of claims can reach.
+def _thinned_by_offset(slim: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+    """The rows of hot keys a chain of claims can reach, as far as slices by offset within the TTL tell.
 
-    Range partitions hold even shares of the rows however they are spread over keys.
-    Slices by offset thin keys with many rows per TTL, slices by time those that go on
-    for many TTLs. Rows at the same instant are one claim at most: the first id stays.
+    Range partitions hold even shares of the rows however they are spread over keys, also where
+    very many rows share an offset: these are cut by bucket, which leaves each slice a range of
+    offsets in every bucket. Rows at the same instant are one claim at most: the first id stays.
     """
     one_per_instant = slim.groupBy(*keys, "us").agg(F.min("request_id").alias("request_id"))
     bucketed = one_per_instant.withColumn("offset", F.pmod("us", F.lit(ttl_us))).withColumn(
         "bucket", F.expr(f"(us - offset) div {ttl_us}L")
     )
-    by_offset = (
-        bucketed.repartitionByRange(*keys, "offset")
+    return (
+        bucketed.repartitionByRange(*keys, "offset", "bucket")
         .sortWithinPartitions(*keys, "bucket", "offset")
         .mapInPandas(offset_thinner(keys, ttl_us), bucketed.schema)
         .select(*keys, "us", "request_id")
     )
+
+
+def _thinned_by_time(slim: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+    """The same as far as slices of time tell, which thin keys that go on for many TTLs."""
     return (
-        by_offset.repartitionByRange(*keys, "us")
+        slim.repartitionByRange(*keys, "us")
         .sortWithinPartitions(*keys, "us")
-        .mapInPandas(time_thinner(keys, ttl_us), by_offset.schema)
+        .mapInPandas(time_thinner(keys, ttl_us), slim.schema)
     )
 
 

@@ -416,3 +416,5 @@ ORACLES: dict[str, str] = {
         SELECT message_id, early - early // 3 AS redelivered, n // 3 AS dead_letters
         FROM counted WHERE early > 0 OR n >= 3""",
 }
+ORACLES["retain_events"] = ORACLES["trim_events"]
+ORACLES["stream_ingest_landings"] = ORACLES["stream_ingest"]

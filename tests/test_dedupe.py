@@ -107,7 +107,8 @@ def test_thinning_drops_most_of_a_hot_key(sliced, span, ttl):
     slim = table(sliced, rows).select(
         "source", "external_id", (F.col("seconds") * 1_000_000).alias("us"), "request_id"
     )
-    left = dd._thinned(slim, ["source", "external_id"], ttl * 1_000_000)
+    keys = ["source", "external_id"]
+    left = dd._thinned_by_time(dd._thinned_by_offset(slim, keys, ttl * 1_000_000), keys, ttl * 1_000_000)
     # Slices reach no further than their partitions: 8 here.
     assert left.count() < 20_000 / 3
     thinned = [(r.external_id, r.us // 1_000_000, r.request_id) for r in left.collect()]
@@ -182,7 +183,7 @@ def test_periodic_hot_key_is_decided_in_slices(sliced, ttl, each):
 def test_slices_share_a_periodic_key_evenly(sliced):
     rows = [("hot", i * 10, f"r{i:06d}") for i in range(40_000)]
     slim = table(sliced, rows).select("external_id", F.unix_micros("received_at").alias("us"), "request_id")
-    thinned = dd._thinned(slim, ["external_id"], 25 * 10**6)
+    thinned = dd._thinned_by_offset(slim, ["external_id"], 25 * 10**6)
     assert thinned.count() > len(rows) / 2  # thinning does not help here
     claims = dd.sliced_claims(thinned, ["external_id"], 25 * 10**6)
     assert {r.request_id for r in claims.collect()} == by_rule(rows, 25)

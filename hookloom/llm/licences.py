@@ -141,8 +141,9 @@ def find_licences(
                         F.explode(parts_of(F.col(f"`{text}`"))).alias("part"))
     spaces = F.length("part") - F.length(F.translate("part", " ", ""))
     keyed = keyed.filter(spaces >= int(shortest * ratio))
-    # Parts that are far longer than any template hold at least one bigram per distinct word.
-    keyed = keyed.filter((spaces <= 4 * longest) | (F.size(F.array_distinct(F.split("part", " "))) <= 2 * longest))
+    # A part holds at least one bigram less than distinct words, and no more than the longest template allows.
+    most = longest / ratio
+    keyed = keyed.filter((spaces <= most) | (F.size(F.array_distinct(F.split("part", " "))) <= most + 1))
     grams = keyed.select("id", "tk", bigram_hashes(F.col("part")).alias("own")).withColumn("n", F.size("own"))
     common = F.size(F.array_intersect("own", "grams"))
     matches = grams.join(broadcast_if_small(sizes), "n").select(

@@ -45,14 +45,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
-ASSIGNED = re.compile(r"[:=][\x20\t]*[\"']?([^\s\"']{8,256})")
+ASSIGNED = re.compile(r"[:=][\x20\t]*[\"']?([^\s\"']{8,})")
 CLOUD_KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+)(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SPELLED = re.compile(
-    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}"
-    r"(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++"
+    r"(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++)+"
 )
 
 # Words of the labelers' lists.

@@ -1,9 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Groups of equal texts stay together unless they are larger than a packing unit. Units are
-of bounded number: small groups are hashed into bundles, each large group is cut into
-pieces of about a bundle's size by a hash of its rows, and every unit's bytes, tokens and
-rows are measured. Units are placed from the largest down, each on the shard where the dot
+Groups of equal texts stay together; only a group that is larger than a shard's even share, in
+any dimension, is cut into pieces by a hash of its rows. Units of packing are of bounded number:
+each group above a bundle's size is one, pieces of cut groups are, and smaller groups
+are hashed, whole, into bundles. Every unit's bytes, tokens and rows are measured. Units are placed from the largest down, each on the shard where the dot
 product of its vector with the shard's residual capacity is highest, among shards with room
 in every dimension if there are any. Swaps between the fullest and the emptiest shard then
 level the bytes. Only the units' sums reach the driver; their number
@@ -12,6 +12,9 @@ depends on the shards, not on the rows.
 Slots number a shard's rows without gaps: units and row ranges of bounded size are counted
 and offset, and rows are numbered within their range.
 
+The shard of a row follows from its text, and in a cut group from its id, not from where it lies; equal rows
+of a cut group are numbered, so as many of them are in each shard however the table is partitioned.
+
 Defined cases: null texts have no bytes, no tokens and the checksum of an empty text; they
 are one group with empty texts. Repeated rows get slots of their own. Shards may stay empty
 if there are fewer rows than shards.
@@ -91,6 +94,28 @@ def level(vectors: np.ndarray, chosen: np.ndarray, shards: int, rounds: int = 40
     return chosen
 
 
+def _with_repeats(rows: DataFrame, cut: DataFrame, salts: int = 64) -> DataFrame:
+    """Rows with ``repeat``: 0, but the number of a row among equal ones of a cut group.
+
+    Repeats are numbered within salts and then offset, so no task sees them all.
+    """
+    own = rows.join(cut, "text_key", "left_semi").select("text_key", "id", "at", F.pmod("at", F.lit(salts)).alias("salt"))
+    counts = stage_table(own.groupBy("text_key", "id", "salt").agg(F.count("*").alias("n")), "shard-repeats")
+    everywhere = Window.partitionBy("text_key", "id")
+    before = everywhere.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    repeated = counts.select(
+        "text_key", "id", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(everywhere).alias("all")
+    ).filter("all > 1")
+    if repeated.isEmpty():
+        return rows.withColumn("repeat", F.lit(0).cast("long"))
+    same = (own["text_key"] == repeated["text_key"]) & own["id"].eqNullSafe(repeated["id"]) & (own["salt"] == repeated["salt"])
+    within = Window.partitionBy("text_key", "id", "salt").orderBy("at")
+    numbers = own.join(repeated.drop("all"), same).select(own["text_key"], own["id"], own["salt"], "at", "offset").select(
+        "at", (F.col("offset") + F.row_number().over(within) - 1).alias("repeat")
+    )
+    return rows.join(numbers, "at", "left").withColumn("repeat", F.coalesce("repeat", F.lit(0).cast("long")))
+
+
 def assign_shards(
     docs: DataFrame, carry: list[str], shards: int = 8, text: str = "text", doc_id: str = "doc_id",
     units_per_shard: int = UNITS_PER_SHARD,
@@ -117,17 +142,19 @@ def assign_shards(
     ), "shard-groups")
     totals = groups.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in DIMENSIONS)).first()
 
-    # A group above a unit's share in any dimension is cut; there are at most 3 x units of these.
+    # Groups above a bundle's size; as shares add up to one in each dimension, at most 3 x units.
     share = F.greatest(*(F.col(name) / F.lit(float(max(totals[name], 1))) for name in DIMENSIONS))
-    cut = groups.withColumn("pieces", F.ceil(share * units)).filter("pieces > 1") \
-        .select("text_key", F.col("pieces").cast("int").alias("pieces"))
-    cut = broadcast_if_small(stage_table(cut, "shard-cuts"))
-    placed = rows.join(cut, "text_key", "left").withColumn(
+    large = groups.withColumn("share", share).filter(F.col("share") * units > 1).select(
+        "text_key", F.when(F.col("share") * shards > 1, F.ceil(F.col("share") * units)).otherwise(1).cast("int").alias("pieces")
+    )
+    large = broadcast_if_small(stage_table(large, "shard-large"))
+    rows = _with_repeats(rows, large.filter("pieces > 1").select("text_key"))
+    placed = rows.join(large, "text_key", "left").withColumn(
         "unit", F.when(F.col("pieces").isNull(), F.struct(
             F.pmod("text_key", F.lit(units)).alias("bundle"), F.lit(0).alias("piece")
         )).otherwise(F.struct(
             F.col("text_key").alias("bundle"),
-            (F.pmod(F.xxhash64("id", "at"), "pieces") + 1).cast("int").alias("piece"),
+            (F.pmod(F.xxhash64("id", "repeat"), "pieces") + 1).cast("int").alias("piece"),
         ))
     )
     sums = placed.groupBy("unit").agg(

@@ -42,3 +42,15 @@ def test_empty_table_and_plan(spark):
     assert licences.licence_report(no_documents(spark)).collect() == []
     plan = licences.licence_report(documents(spark, "a b"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bounds_hold_for_low_thresholds(spark):
+    """A long part that shares little with a template still counts when the threshold is low."""
+    words = licences.plain_template(licences.TEMPLATES["mpl-2.0-header"]).split()
+    own = len(set(zip(words, words[1:])))
+    # As many other words as leave a Dice coefficient of just over one half.
+    text = " ".join(words + [f"w{i}" for i in range(int(1.6 * own))])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = licences.find_licences(docs, ["doc_id"], threshold=0.5).first()["found"]
+    want = {name: round(dice, 9) for name, dice in brute(text, 0.5).items()}
+    assert {f.licence: round(f.dice, 9) for f in found} == want and "mpl-2.0-header" in want

@@ -91,3 +91,14 @@ def test_expectation_maximisation_finds_the_reliable_labelers():
     posterior, tables = pii.estimate_votes(patterns, counts.astype(float))
     assert np.allclose([tables[1, i, 2] for i in range(3)], right, atol=0.06)
     assert ((posterior[place.ravel()] > 0.5) == truth).mean() > 0.93
+
+
+def test_spans_have_no_largest_length():
+    """A secret and a spelled-out address are reported whole, however long."""
+    secret = "k3" * 200
+    spans = {(kind, text[start:end]) for text in (f'api_key = "{secret}" end',) for start, kind, end in pii.candidates(text)}
+    assert (pii.KINDS.index("secret"), secret) in spans
+    name, host = "n" * 90, "h" * 80
+    text = f"write to {name} (at) {host} (dot) a (dot) b (dot) c (dot) d (dot) e (dot) f (dot) com now"
+    spans = {text[start:end] for start, kind, end in pii.candidates(text) if pii.KINDS[kind] == "spelled_email"}
+    assert spans == {text[9:-4]}

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from hookloom.llm import sharding
 from tests.llm.edges import documents, no_documents, prose, rows_of
@@ -23,17 +24,51 @@ def test_report_is_balanced_and_gapless(spark):
     assert sizes[2] - sizes[0] <= 0.02 * sizes[2]
 
 
-def test_equal_texts_stay_together_unless_large(spark):
-    docs = documents(spark, *(prose(i % 40, 30) for i in range(120)))
-    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] and r["doc_id"] < 900}
-    got = sharding.assign_shards(docs, ["doc_id"], shards=2, units_per_shard=8).collect()
+def shards_by_text(got):
     places = {}
     for row in got:
-        if row["id"] in texts:
-            places.setdefault(texts[row["id"]], set()).add(row["shard"])
+        places.setdefault(row["text_crc32"], set()).add(row["shard"])
+    return places
+
+
+@pytest.mark.parametrize("units", [1, 8, 512])
+def test_only_groups_beyond_a_shards_share_are_cut(spark, units):
+    """Whatever the number of units: 40 texts thrice, and one text with most of the rows."""
+    texts = [prose(i % 40, 30) for i in range(120)]
+    docs = documents(spark, *texts).filter("doc_id <> 905")
+    got = sharding.assign_shards(docs, ["doc_id"], shards=4, units_per_shard=units).collect()
+    assert all(len(places) == 1 for places in shards_by_text(got).values())
+    most = documents(spark, *texts, *["one text of many rows " * 10] * 400).filter("doc_id <> 905")
+    got = sharding.assign_shards(most, ["doc_id"], shards=4, units_per_shard=units).collect()
+    large = zlib.crc32(("one text of many rows " * 10).encode())
+    places = shards_by_text(got)
+    assert len(places.pop(large)) == (4 if units > 1 else len(shards_by_text(got)[large]))
     assert all(len(shards) == 1 for shards in places.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_groups_of_the_tables_stay_whole(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = sharding.sharding_report(docs).collect()
+    places = shards_by_text(got)
+    rows = [r["text_crc32"] for r in got]
+    assert sum(rows.count(text) > 1 for text in places) > 3
+    assert all(len(shards) == 1 for shards in places.values())
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) <= 1.01 * min(sizes) or sf == "sf0.001"
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    # One text beyond a shard's share, some of its rows equal in all columns.
+    ids = [*range(100), *[7] * 50, *[None] * 60]
+    docs = spark.createDataFrame([(i, "a text of many rows") for i in ids] + [(i, prose(i, 10)) for i in range(200, 300)], "doc_id long, text string")
+    runs = [
+        sorted((str(r["doc_id"]), r["text_crc32"], r["shard"]) for r in sharding.sharding_report(docs.repartition(n), shards=4).collect())
+        for n in (3, 7)
+    ]
+    assert runs[0] == runs[1] and len({shard for _, _, shard in runs[0]}) == 4
+
+
 def test_pack_and_level():
     draw = np.random.default_rng(3)
     vectors = np.stack([draw.lognormal(8, 1, 500), draw.lognormal(6, 1, 500), np.ones(500)], axis=1)

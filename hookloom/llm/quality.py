@@ -2,11 +2,17 @@
 
 Each text becomes a vector of transformed statistics. Per language and source, the
 minimum-covariance-determinant estimate (the mean and covariance of the half of the rows
-that lie closest together, found by concentration steps) describes ordinary texts; rows
+whose covariance has the smallest determinant) describes ordinary texts; rows
 too far from it by Mahalanobis distance are rejected. Only DataFrame functions are used.
 
+The half is searched for from several fixed starts: medians with equal spreads, medians with
+quartile spreads, and scatters of spatial signs and of hyperbolic tangents, which outliers
+hardly move. From each, concentration steps (take the nearest half, estimate anew) go on until no
+determinant falls any more; of all, the smallest is taken. Covariances are regularised: each
+statistic's variance is raised by a small constant, as halves without any variation in a statistic are common.
+
 Everything is aggregated: a concentration step counts rows per group and distance bin to
-find the nearest half, then sums moments of that half per group. Statistics lie on a grid
+find the nearest half, then sums moments of that half per group; all starts go in one pass. Statistics lie on a grid
 of 1/1024, so these sums are exact in doubles and the result does not depend on the order
 in which partitions are added.
 
@@ -45,6 +51,8 @@ FEATURES = {
 }
 NAMES = tuple(FEATURES)
 BINS_PER_OCTAVE = 32
+# Rows that an estimate must rest on: five for each statistic.
+MIN_GROUP = 5 * len(FEATURES)
 
 
 def text_statistics(text: Column) -> Column:
@@ -181,8 +189,9 @@ def whitening(sums: DataFrame, consistency: float) -> DataFrame:
             for k in range(j, i):
                 value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             table = table.withColumn(f"w{i}{j}", value / F.col(f"l{i}{i}"))
+    logdet = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(1, d)), F.log(F.col("l00")) * 2)
     return table.select(
-        "grp",
+        "grp", "n", logdet.alias("logdet"),
         F.array(*(F.col(f"m{i}") for i in range(d))).alias("centre"),
         F.array(*(F.col(f"w{i}{j}") for i in range(d) for j in range(i + 1))).alias("whiten"),
     )
@@ -221,39 +230,109 @@ def _fit_once(rows: DataFrame, fitted: DataFrame, share: float | None, limit: fl
     return stage_table(whitening(nearest.groupBy("grp").agg(*moments()), consistency), name)
 
 
-def _start(rows: DataFrame, name: str) -> DataFrame:
-    """Robust start per group: median of each statistic, and the floors as spread.
+def _middle(rows: DataFrame, name: str) -> DataFrame:
+    """Per group the median ``m`` and a spread ``s`` from the quartiles, per statistic.
 
-    Medians come from counts per grid cell of 1/16 octave, so no group is collected.
+    They come from counts per grid cell of 1/16 octave, so no group is collected.
     """
     cells = rows.select("grp", F.posexplode(F.array(*(
         F.floor(F.col(f"x.{feature}") / (GRID // 16)) for feature in NAMES
     ))).alias("dim", "cell")).groupBy("grp", "dim", "cell").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("grp", "dim").orderBy("cell")
     whole = Window.partitionBy("grp", "dim")
-    middle = cells.select(
-        "grp", "dim", "cell", F.sum("n").over(upward).alias("below"), F.sum("n").over(whole).alias("all")
-    ).filter(F.col("below") * 2 >= F.col("all")).groupBy("grp", "dim").agg(F.min("cell").alias("cell"))
-    centre = middle.groupBy("grp").agg(*(
-        F.max(F.when(F.col("dim") == i, (F.col("cell") + F.lit(0.5)) * (GRID // 16))).alias(f"m{i}")
-        for i in range(len(NAMES))
+    reached = cells.select("grp", "dim", "cell", F.sum("n").over(upward).alias("below"), F.sum("n").over(whole).alias("all"))
+    quarters = reached.groupBy("grp", "dim").agg(*(
+        ((F.min(F.when(F.col("below") * 4 >= F.col("all") * k, F.col("cell"))) + F.lit(0.5)) * (GRID // 16)).alias(f"q{k}")
+        for k in (1, 2, 3)
+    ))
+    # Quartiles of a normal distribution lie 1.349 standard deviations apart.
+    floors = F.element_at(F.array(*(F.lit((FEATURES[feature] * GRID) ** 2) for feature in NAMES)), F.col("dim") + 1)
+    spread = F.sqrt(F.pow((F.col("q3") - F.col("q1")) / 1.349, 2) + floors)
+    each = quarters.groupBy("grp").agg(*(
+        F.max(F.when(F.col("dim") == i, value)).alias(f"{part}{i}")
+        for i in range(len(NAMES)) for part, value in (("m", F.col("q2")), ("s", spread))
     ))
-    factors = [
-        F.lit(1 / (FEATURES[NAMES[i]] * GRID) if i == j else 0.0) for i in range(len(NAMES)) for j in range(i + 1)
-    ]
-    return stage_table(centre.select(
-        "grp", F.array(*(F.col(f"m{i}") for i in range(len(NAMES)))).alias("centre"), F.array(*factors).alias("whiten")
+    return stage_table(each.select(
+        "grp", *(F.array(*(F.col(f"{part}{i}") for i in range(len(NAMES)))).alias(part) for part in ("m", "s"))
     ), name)
 
 
+STARTS = 4
+
+
+def _starts(rows: DataFrame, name: str) -> DataFrame:
+    """Starts of the search per group, as fits of ``grp`` = (group, start)."""
+    d = len(NAMES)
+    middle = _middle(rows, f"{name}-middle")
+    known = rows.join(broadcast_if_small(middle), "grp")
+    z = [(F.col(f"x.{feature}") - F.col("m")[i]) / F.col("s")[i] for i, feature in enumerate(NAMES)]
+    length = F.sqrt(sum((value * value for value in z[1:]), z[0] * z[0]))
+
+    def scaled(values: list[Column]) -> Column:
+        # Whole numbers again, so that sums stay exact.
+        return F.struct(*(F.round(value * F.col("s")[i]).alias(feature) for i, (value, feature) in enumerate(zip(values, NAMES))))
+
+    signs = scaled([F.when(length > 0, value / length * math.sqrt(d)).otherwise(0.0) for value in z])
+    tangents = scaled([F.tanh(value) for value in z])
+    moved = known.select(F.explode(F.array(
+        F.struct(F.struct("grp", F.lit(2).alias("start")).alias("grp"), signs.alias("x")),
+        F.struct(F.struct("grp", F.lit(3).alias("start")).alias("grp"), tangents.alias("x")),
+    )).alias("one")).select("one.grp", "one.x")
+    scatter = whitening(moved.groupBy("grp").agg(*moments()), 1.0).select("grp", "whiten")
+    scatter = scatter.join(middle.select(F.col("grp").alias("of"), "m"), F.col("grp.grp") == F.col("of"))
+
+    def diagonal(entries: list[Column]) -> Column:
+        return F.array(*(entries[i] if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)))
+
+    equal = diagonal([F.lit(1 / (FEATURES[feature] * GRID)) for feature in NAMES])
+    quartile = diagonal([1 / F.col("s")[i] for i in range(d)])
+    simple = middle.select(F.col("m").alias("centre"), F.explode(F.array(*(
+        F.struct(F.struct("grp", F.lit(start).alias("start")).alias("grp"), whiten.alias("whiten"))
+        for start, whiten in enumerate((equal, quartile))
+    ))).alias("one"))
+    return stage_table(
+        simple.select("one.grp", "centre", "one.whiten").unionByName(scatter.select("grp", F.col("m").alias("centre"), "whiten")), name
+    )
+
+
+def smallest_determinant(rows: DataFrame, share: float, steps: int, consistency: float, name: str = "quality") -> DataFrame:
+    """The fit of the smallest determinant per group, of those that concentration reaches from all starts.
+
+    ``steps`` only guards against an endless search; a search that reaches it is still the best of what it saw.
+    """
+    fitted = _starts(rows, f"{name}-start")
+    many = rows.select("x", F.explode(F.array(*(
+        F.struct("grp", F.lit(start).alias("start")) for start in range(STARTS)
+    ))).alias("grp"))
+    best = None
+    for step in range(steps):
+        fitted = _fit_once(many, fitted, share, None, consistency, f"{name}-step{step}")
+        if best is None:
+            best = fitted
+            continue
+        latest = fitted.select("grp", F.struct("logdet", "n", "centre", "whiten").alias("new"))
+        compared = best.join(latest, "grp").withColumn("fell", F.col("new.logdet") < F.col("logdet") - 1e-6)
+        compared = stage_table(compared.select(
+            "grp", "fell", *(F.when(F.col("fell"), F.col(f"new.{part}")).otherwise(F.col(part)).alias(part)
+                             for part in ("n", "logdet", "centre", "whiten"))
+        ), f"{name}-best")
+        best = compared.drop("fell")
+        if compared.filter("fell").isEmpty():
+            break
+    least = best.groupBy(F.col("grp.grp").alias("of")).agg(
+        F.min(F.struct("logdet", F.col("grp.start").alias("start"), "n", "centre", "whiten")).alias("fit")
+    )
+    return stage_table(least.select(F.col("of").alias("grp"), "fit.n", "fit.logdet", "fit.centre", "fit.whiten"), f"{name}-least")
+
+
 def score_quality(
     docs: DataFrame,
     carry: list[str],
     text: str = "text",
     groups: tuple[str, str] = ("lang", "source"),
-    min_group: int = 100,
+    min_group: int = MIN_GROUP,
     share: float = 0.5,
-    steps: int = 4,
+    steps: int = 20,
     rejected_share: float = 1e-7,
     stage_rows: bool = True,
 ) -> DataFrame:
@@ -302,11 +381,7 @@ def score_quality(
     fit_rows = stage_table(wide.join(asked, "grp", "left_semi"), "quality-fit-rows")
     d = len(NAMES)
     core = chi_square_quantile(share, d)
-    fitted = _start(fit_rows, "quality-start")
-    for step in range(steps):
-        fitted = _fit_once(
-            fit_rows, fitted, share, None, share / chi_square_cdf(core, d + 2), f"quality-step{step}"
-        )
+    fitted = smallest_determinant(fit_rows, share, steps, share / chi_square_cdf(core, d + 2))
     # Rows that the estimate finds ordinary give the final one.
     ordinary = chi_square_quantile(0.975, d)
     fitted = _fit_once(
@@ -315,12 +390,15 @@ def score_quality(
     counted = stage_table(fit_rows.groupBy("grp").agg(F.count("*").alias("members")), "quality-members")
     fitted = fitted.join(counted.filter(F.col("members") >= min_group), "grp", "left_semi")
 
-    cutoff = chi_square_quantile(1 - rejected_share, d)
+    # A small group's estimate is less certain: about what the F distribution adds to the tail.
+    cutoff = chi_square_quantile(1 - rejected_share, d) * F.pow(F.col("n") / F.greatest(F.col("n") - d - 1, F.lit(1)), F.lit(4.5))
     judged = rows.join(named, same, "left").drop("k0", "k1")
     judged = judged.join(broadcast_if_small(stage_table(fitted, "quality-fit")), "grp", "left")
     return judged.select(
-        "row", "stat", "failed", squared_distance().alias("d2"),
-    ).withColumn("kept", ~F.col("failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False)))
+        "row", "stat", "failed", squared_distance().alias("d2"), cutoff.alias("cutoff"),
+    ).select(
+        "row", "stat", "failed", "d2", (~F.col("failed") & ~F.coalesce(F.col("d2") > F.col("cutoff"), F.lit(False))).alias("kept")
+    )
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

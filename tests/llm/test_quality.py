@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -76,21 +77,77 @@ def test_empty_table(spark):
     assert quality.quality_filter(no_documents(spark)).collect() == []
 
 
+def vectors_table(spark, rows):
+    return spark.createDataFrame([(grp, *map(float, r)) for grp, r in rows], "grp string, " + ", ".join(
+        f"f{i} double" for i in range(5)
+    )).select("grp", F.struct(*(F.col(f"f{i}").alias(n) for i, n in enumerate(quality.NAMES))).alias("x"))
+
+
+FLOORS = np.diag([(quality.FEATURES[n] * quality.GRID) ** 2 for n in quality.NAMES])
+
+
+def brute_logdet(x):
+    """Smallest log determinant of the regularised covariance over all halves of the rows."""
+    half = math.ceil(len(x) / 2)
+    chosen = np.array(list(combinations(range(len(x)), half)))
+    best = np.inf
+    for part in np.array_split(chosen, max(1, len(chosen) // 20_000)):
+        near = x[part]
+        centred = near - near.mean(axis=1, keepdims=True)
+        cover = np.einsum("sni,snj->sij", centred, centred) / half + FLOORS
+        best = min(best, np.linalg.slogdet(cover)[1].min())
+    return best
+
+
+def test_search_finds_the_smallest_determinant(spark):
+    """Small groups against every half there is: ordinary rows, far ones, and outliers in a tight heap."""
+    draw = np.random.default_rng(11)
+    groups = {}
+    for i, (near, far, spread) in enumerate([(16, 0, 1), (12, 4, 3000), (11, 6, 40), (10, 8, 900), (9, 8, 30)]):
+        own = draw.normal(size=(near, 5)) @ np.diag([900, 1500, 700, 900, 800])
+        groups[f"g{i}"] = np.round(np.vstack([own, draw.normal(size=(far, 5)) * spread + 9000]))
+    rows = vectors_table(spark, [(name, r) for name, x in groups.items() for r in x])
+    found = {r.grp: r for r in quality.smallest_determinant(rows, 0.5, 20, 1.0, "t").collect()}
+    single = quality._starts(rows, "u").filter("grp.start = 0").select("grp.grp", "centre", "whiten")
+    for step in range(4):
+        single = quality._fit_once(rows, single, 0.5, None, 1.0, f"u{step}")
+    single = {r.grp: r.logdet for r in single.collect()}
+    for name, x in groups.items():
+        least = brute_logdet(x)
+        # Bins of distance may take in a row more than half, which costs a little.
+        assert found[name].logdet <= least + 1.2 and found[name].n <= math.ceil(len(x) / 2) + 3
+        assert found[name].logdet <= single[name] + 1e-9
+    # Where ordinary rows are the majority, the estimate rests on them.
+    for name in ("g0", "g1", "g2"):
+        assert abs(np.array(found[name].centre)).max() < 3000
+
+
+def test_groups_over_and_under_the_limit_are_judged_by_their_own_or_their_language(spark):
+    """A source whose ordinary texts are long-worded is judged by itself once it has enough of them."""
+    def table(count):
+        rows = [(i, prose(i, 80), "en", "web") for i in range(200)]
+        rows += [(1000 + i, " ".join(w * 6 for w in prose(i, 80).split()), "en", "lab") for i in range(count)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    own = {r.doc_id: r.kept for r in quality.quality_report(table(quality.MIN_GROUP)).collect()}
+    assert all(own.values())
+    few = {r.doc_id: r.kept for r in quality.quality_report(table(quality.MIN_GROUP - 1)).collect()}
+    assert all(kept == (doc_id < 1000) for doc_id, kept in few.items())
+
+
 def test_determinant_estimate_matches_numpy(spark):
     """The final distances agree with the same concentration steps done in numpy."""
     draw = np.random.default_rng(1)
     base = draw.normal(size=(400, 5)) @ np.diag([300, 700, 300, 600, 300])
     x = np.round(np.vstack([base, draw.normal(9000, 50, size=(80, 5))]))
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(
-        f"f{i} double" for i in range(5)
-    )).select("grp", F.struct(*(F.col(f"f{i}").alias(n) for i, n in enumerate(quality.NAMES))).alias("x"))
-    fitted = quality._start(rows, "t")
+    rows = vectors_table(spark, [("g", r) for r in x])
+    fitted = quality._starts(rows, "t").filter("grp.start = 0").select("grp.grp", "centre", "whiten")
     for step in range(3):
         fitted = quality._fit_once(rows, fitted, 0.5, None, 1.0, f"t{step}")
     fit = fitted.first()
     got = np.array(rows.join(fitted, "grp").select(quality.squared_distance()).toPandas()).ravel()
 
-    floors = np.diag([(quality.FEATURES[n] * quality.GRID) ** 2 for n in quality.NAMES])
+    floors = FLOORS
     cells = np.floor(x / (quality.GRID // 16))
     centre = np.array([(np.sort(c)[math.ceil(len(c) / 2) - 1] + 0.5) * (quality.GRID // 16) for c in cells.T])
     cover = floors

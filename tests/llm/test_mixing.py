@@ -75,3 +75,28 @@ def test_nothing_labelled_and_nothing_there(spark):
 def test_targets_are_checked(spark):
     with pytest.raises(ValueError):
         mixing.mix(no_documents(spark), labels(spark, []), ["doc_id"], {"clean": 1.0})
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(7, prose(i, 20)) for i in range(300)] + [(8, "b")], "doc_id long, text string")
+    marks = labels(spark, [(7, 1, 0, ""), (8, 0, 0, "")])
+    assert mixing.labelled_sample(docs, marks, "doc_id", "text", 1).count() == 1
+    sample = mixing.labelled_sample(docs, marks, "doc_id", "text", 10)
+    assert sample.count() == 2
+    assert sample.collect() == mixing.labelled_sample(docs.repartition(5), marks, "doc_id", "text", 10).collect() or \
+        sorted(map(str, sample.collect())) == sorted(map(str, mixing.labelled_sample(docs.repartition(5), marks, "doc_id", "text", 10).collect()))
+
+
+def test_summary_shows_what_targets_are_reached(spark, corpus):
+    docs, marks = corpus
+    # Half of all tokens lie in one very long text, which puts the share of clean ones out of reach.
+    missed = {r.domain: r for r in mixing.mixing_summary(docs, marks).collect()}
+    assert missed["clean"].reached < 0.8 < missed["clean"].target
+    docs = docs.filter("doc_id < 900")
+    by_domain = {r.domain: r for r in mixing.mixing_summary(docs, marks).collect()}
+    assert set(by_domain) == set(mixing.DOMAINS)
+    assert all(abs(r.reached - r.target) < 0.03 and abs(r.written - r.reached) < 0.1 for r in by_domain.values())
+    assert abs(by_domain["toxic"].before - by_domain["toxic"].target) > 0.1 and by_domain["toxic"].documents_changed > 50
+    # Out of reach: no document may be written more than once.
+    held = {r.domain: r for r in mixing.mixing_summary(docs, marks, {"clean": 0, "toxic": 1, "poor": 0}, max_rate=1.0).collect()}
+    assert held["toxic"].reached < 0.6

@@ -144,11 +144,10 @@ def trim_cutoffs(
         F.when(F.col("high") < SKETCH_STEPS, F.get("at", F.col("high"))).otherwise(NEWEST).alias("high"),
     ), "trim-brackets")
     cutoffs = _ranked_cutoffs(slim, brackets, n, group)
-    missed = brackets.join(cutoffs, _same(brackets, cutoffs, group), "left_anti") if group else (
-        brackets if cutoffs.isEmpty() else brackets.limit(0)
-    )
-    if missed.isEmpty():
+    # A group has one cutoff at most, so equal counts mean that none was missed.
+    if brackets.count() == cutoffs.count():
         return cutoffs
+    missed = brackets.join(cutoffs, _same(brackets, cutoffs, group), "left_anti") if group else brackets
     whole = missed.withColumns({"low": F.lit(OLDEST), "high": F.lit(NEWEST)})
     return cutoffs.union(_ranked_cutoffs(slim, whole, n, group))
 

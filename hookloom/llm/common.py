@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hookloom.session import MAX_BROADCAST_BYTES
+
 # ASCII white space as the corpus contracts count it.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-# A table may be broadcast up to this many rows, counted before the join.
+# A table may be broadcast up to this many rows, counted before the join, and up to as many bytes as any lookup.
 BROADCAST_ROWS = 50_000
 
 
@@ -46,19 +48,9 @@ def positions(count: Column) -> Column:
     )
 
 
-def digest_key(*columns: Column) -> Column:
-    """64-bit key of values; null counts as a value."""
-    return F.xxhash64(*columns)
-
-
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` marked for broadcast when its counted rows stay under the limit."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
-def null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality of all ``columns``, where null equals null."""
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast when its counted rows and their measured bytes stay under the limits."""
+    found = table.limit(rows + 1).agg(
+        F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")
+    ).first()
+    return F.broadcast(table) if found["rows"] <= rows and (found["size"] or 0) <= size else table

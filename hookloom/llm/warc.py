@@ -25,13 +25,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookloom.llm.common import broadcast_if_small, whole_text
@@ -39,6 +40,10 @@ from hookloom.session import shared_dir, stage_table
 
 ARCHIVE_BYTES = 256 << 20
 FAN_IN = 512
+# Entries sorted at once.
+RUN_ROWS = 200_000
+# Stands for a range's number in the names of runs that have a file per range.
+PART = "{part}"
 RANGE_ROWS = 250_000
 # Keys of all runs together that splitters are chosen from.
 SAMPLES = 8192
@@ -283,15 +288,18 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
             for archive in frame["archive"]:
                 system, place = file_system(archive)
                 with system.open_input_stream(place, compression=None) as stream:
-                    entries = [index_entry(record, archive, offset, length)
-                               for offset, length, record in gzip_members(stream)]
-                entries.sort(key=sort_key)
-                run = f"{folder}/{uuid.uuid4().hex}.run.parquet"
-                step = max(1, -(-len(entries) // keep))
-                sample = [{name: entry[name] for name in SAMPLE_FIELDS} for entry in entries[step // 2::step]]
-                yield pd.DataFrame({
-                    "run": [run], "rows": [write_run(iter(entries), run)], "samples": [sample],
-                }).astype({"run": object})
+                    found = (index_entry(record, archive, offset, length) for offset, length, record in gzip_members(stream))
+                    first = True
+                    # An archive of very many small records gives several runs.
+                    while (entries := list(islice(found, RUN_ROWS))) or first:
+                        first = False
+                        entries.sort(key=sort_key)
+                        run = f"{folder}/{uuid.uuid4().hex}.run.parquet"
+                        step = max(1, -(-len(entries) // keep))
+                        sample = [{name: entry[name] for name in SAMPLE_FIELDS} for entry in entries[step // 2::step]]
+                        yield pd.DataFrame({
+                            "run": [run], "rows": [write_run(iter(entries), run)], "samples": [sample],
+                        }).astype({"run": object})
 
     # An archive is one row and much work, so archives are dealt out one to a task.
     dealt = archives.repartition(count, "archive")
@@ -300,6 +308,29 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def _narrowed(spark: SparkSession, paths: list[str], bounds: list[tuple], prefix: str) -> list[str]:
+    """Merge every ``FAN_IN`` runs into one of a file per key range; a task merges one range of one group.
+
+    Files are named by group and range, so a task that is run again writes its own file again.
+    """
+    groups = [(number, paths[at:at + FAN_IN]) for number, at in enumerate(range(0, len(paths), FAN_IN))]
+    parts = spark.createDataFrame(groups, "number int, runs array<string>").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(len(bounds) - 1)))
+    )
+
+    def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number, runs, part in zip(frame["number"], frame["runs"], frame["part"]):
+                low, high = bounds[part]
+                sources = [read_run(path.replace(PART, str(part)), low, high) for path in runs]
+                rows = write_run(iter(LoserTree(sources, sort_key)), f"{prefix}-{number}-{part}.run.parquet")
+                yield pd.DataFrame({"number": [number], "part": [part], "rows": [rows]})
+
+    merged = parts.repartition(len(groups) * len(bounds), "number", "part").mapInPandas(narrow, "number int, part int, rows long")
+    stage_table(merged, "warc-merged")
+    return [f"{prefix}-{number}-{PART}.run.parquet" for number, _ in groups]
+
+
 def merged_captures(runs: DataFrame, folder: str) -> DataFrame:
     """All index entries in global order: by ``index_range``, then ``index_place``."""
     spark = runs.sparkSession
@@ -308,30 +339,20 @@ def merged_captures(runs: DataFrame, folder: str) -> DataFrame:
     samples = sorted(
         (sort_key(row.asDict()) for row in runs.select(F.inline("samples")).collect())
     ) if rows else []
-    while len(paths) > FAN_IN:
-        groups = spark.createDataFrame([(paths[at:at + FAN_IN],) for at in range(0, len(paths), FAN_IN)],
-                                       "runs array<string>")
-
-        def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for group in frame["runs"]:
-                    run = f"{folder}/{uuid.uuid4().hex}.run.parquet"
-                    write_run(iter(LoserTree([read_run(path) for path in group], sort_key)), run)
-                    yield pd.DataFrame({"run": [run]}, dtype=object)
-
-        merged = stage_table(groups.repartition(groups.count()).mapInPandas(narrow, "run string"), "warc-merged")
-        paths = sorted(row["run"] for row in merged.collect())
-
     ranges = max(1, -(-rows // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, len(samples) // 64))
     cuts = sorted({samples[len(samples) * part // ranges] for part in range(1, ranges)})
     bounds = list(zip([None, *cuts], [*cuts, None]))
+    rounds = 0
+    while len(paths) > FAN_IN:
+        paths = _narrowed(spark, paths, bounds, f"{folder}/merged-{rounds}")
+        rounds += 1
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in frame["part"]:
                 low, high = bounds[part]
                 place, batch = 0, []
-                for entry in LoserTree([read_run(path, low, high) for path in paths], sort_key):
+                for entry in LoserTree([read_run(path.replace(PART, str(part)), low, high) for path in paths], sort_key):
                     batch.append(entry)
                     if len(batch) == BATCH:
                         yield output(batch, part, place)

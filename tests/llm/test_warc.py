@@ -3,7 +3,9 @@ import gzip
 import hashlib
 import io
 import random
+from glob import glob
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,8 +48,15 @@ def test_many_runs_are_merged_in_rounds_and_ranges(spark, monkeypatch):
     folder = f"{shared_dir(spark)}/warc-{random.getrandbits(60)}"
     archives = warc.write_archives(table, folder, archive_bytes=2000)
     assert archives.count() > 10
-    rows = warc.merged_captures(warc.index_archives(archives, folder), folder).collect()
+    monkeypatch.setattr(warc, "RUN_ROWS", 5)
+    runs = warc.index_archives(archives, folder)
+    rows = warc.merged_captures(runs, folder).collect()
     assert len(rows) == table.count() and len({r["index_range"] for r in rows}) > 3
+    # Runs hold a few entries each, and no file of a merge round more than about a range.
+    assert runs.agg({"rows": "max"}).first()[0] <= 5 and runs.agg({"rows": "sum"}).first()[0] == len(rows)
+    merged = glob(f"{folder.removeprefix('file:')}/merged-*.run.parquet")
+    sizes = {path: pq.read_metadata(path).num_rows for path in merged}
+    assert len({path.split("-")[-3] for path in merged}) > 1 and 0 < max(sizes.values()) <= 3 * 20
     rows.sort(key=lambda r: (r["index_range"], r["index_place"]))
     keys = [(r["url_key"], r["captured_at"], r["page_id"] is None, r["page_id"] or 0) for r in rows]
     assert keys == sorted(keys)

@@ -51,6 +51,8 @@ FEATURES = {
 }
 NAMES = tuple(FEATURES)
 BINS_PER_OCTAVE = 32
+# A determinant has stopped falling when its logarithm falls by less; distances are binned about as finely.
+FALL = 1e-3
 # Rows that an estimate must rest on: five for each statistic.
 MIN_GROUP = 5 * len(FEATURES)
 
@@ -166,29 +168,33 @@ def whitening(sums: DataFrame, consistency: float) -> DataFrame:
     def at(i: int, j: int) -> int:
         return i * (i + 1) // 2 + j
 
+    def covariance(i: int, j: int) -> Column:
+        value = (F.col("q")[at(i, j)] / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency
+        return value + F.lit((FEATURES[NAMES[i]] * GRID) ** 2 if i == j else 0.0)
+
+    def less(start: Column, products: list[tuple[str, str]]) -> Column:
+        for one, other in products:
+            start = start - F.col(one) * F.col(other)
+        return start
+
+    # Columns that depend on each other come one set after the other.
     table = sums.select("grp", "n", *((F.col("s")[i] / F.col("n")).alias(f"m{i}") for i in range(d)), "q")
-    for i, name in enumerate(NAMES):
-        for j in range(i + 1):
-            value = (F.col("q")[at(i, j)] / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency
-            floor = (FEATURES[name] * GRID) ** 2 if i == j else 0.0
-            table = table.withColumn(f"c{i}{j}", value + F.lit(floor))
+    table = table.withColumns({f"c{i}{j}": covariance(i, j) for i in range(d) for j in range(i + 1)})
     for j in range(d):
-        # Column j of the factor L, then row j of its inverse.
-        square = F.col(f"c{j}{j}")
-        for k in range(j):
-            square = square - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
+        # Column j of the factor L.
+        square = less(F.col(f"c{j}{j}"), [(f"l{j}{k}", f"l{j}{k}") for k in range(j)])
         table = table.withColumn(f"l{j}{j}", F.sqrt(F.greatest(square, F.lit(1.0))))
-        for i in range(j + 1, d):
-            value = F.col(f"c{i}{j}")
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            table = table.withColumn(f"l{i}{j}", value / F.col(f"l{j}{j}"))
+        if j + 1 < d:
+            table = table.withColumns({
+                f"l{i}{j}": less(F.col(f"c{i}{j}"), [(f"l{i}{k}", f"l{j}{k}") for k in range(j)]) / F.col(f"l{j}{j}")
+                for i in range(j + 1, d)
+            })
     for i in range(d):
-        for j in range(i + 1):
-            value = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-            table = table.withColumn(f"w{i}{j}", value / F.col(f"l{i}{i}"))
+        # Row i of its inverse.
+        table = table.withColumns({
+            f"w{i}{j}": less(F.lit(1.0 if i == j else 0.0), [(f"l{i}{k}", f"w{k}{j}") for k in range(j, i)]) / F.col(f"l{i}{i}")
+            for j in range(i + 1)
+        })
     logdet = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(1, d)), F.log(F.col("l00")) * 2)
     return table.select(
         "grp", "n", logdet.alias("logdet"),
@@ -311,7 +317,7 @@ def smallest_determinant(rows: DataFrame, share: float, steps: int, consistency:
             best = fitted
             continue
         latest = fitted.select("grp", F.struct("logdet", "n", "centre", "whiten").alias("new"))
-        compared = best.join(latest, "grp").withColumn("fell", F.col("new.logdet") < F.col("logdet") - 1e-6)
+        compared = best.join(latest, "grp").withColumn("fell", F.col("new.logdet") < F.col("logdet") - FALL)
         compared = stage_table(compared.select(
             "grp", "fell", *(F.when(F.col("fell"), F.col(f"new.{part}")).otherwise(F.col(part)).alias(part)
                              for part in ("n", "logdet", "centre", "whiten"))

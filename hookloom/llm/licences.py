@@ -1,18 +1,23 @@
 """Licence scans: parts of a text against licence templates by the Dice coefficient.
 
-The parts of a text are the whole of it, its paragraphs (between empty lines) and its
-lines. Each is normalised to lower-case letters and digits between single spaces and becomes
+The parts of a text are the whole of it, its paragraphs (between empty lines), its
+lines, and windows of running text. Each is normalised to lower-case letters and digits between single spaces and becomes
 the set of its word bigrams. A part of n bigrams can reach the Dice coefficient t with a
 template of m only if ``m t / (2 - t) <= n <= m (2 - t) / t``; an equi-join on n with the
 sizes that each template allows finds the candidate templates, and only for these the common
 bigrams are counted. DataFrame functions only.
 
+Windows are as many words as the template has and start at one of its bigrams. As many of a template's
+bigrams as the lower bound says must occur in a text, so texts with fewer have no windows looked at; nearly all do.
+A text that spreads a licence over paragraphs, or sets it into a longer one, is thus found.
+
 Defined cases: null and empty texts and parts of fewer than two words match nothing. A text
 that repeats a part counts it once. Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 from string import ascii_lowercase, ascii_uppercase
@@ -112,6 +117,41 @@ def plain_template(wording: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", lowered).split())
 
 
+def window_matches(text: Column, templates: list[tuple[str, list[int], int]], threshold: float) -> Column:
+    """Licences that a window of running text may match, each with the largest coefficient of its windows.
+
+    ``templates`` are names, bigram hashes and word counts; they are literals of the expression.
+    """
+    ratio = threshold / (2 - threshold)
+    known = F.lit(sorted({gram for _, grams, _ in templates for gram in grams}))
+    wanted = F.array(*(
+        F.struct(F.lit(name).alias("licence"), F.lit(grams).alias("grams"), F.lit(words - 1).alias("length"),
+                 F.lit(max(1, math.ceil(len(grams) * ratio - 1e-9))).alias("least"))
+        for name, grams, words in templates
+    ))
+
+    def running(plain: Column) -> Column:
+        words = F.split(F.trim(F.regexp_replace(plain, r"[\n ]+", " ")), " ")
+        return let(words, lambda each: F.transform(
+            positions(F.size(each) - 1), lambda at: F.xxhash64(each[at], each[at + 1])
+        ))
+
+    def best(grams: Column, template: Column) -> Column:
+        starts = F.filter(positions(F.size(grams)), lambda at: F.array_contains(template["grams"], grams[at]))
+        return F.array_max(F.transform(starts, lambda at: let(
+            F.array_distinct(F.slice(grams, at + 1, template["length"])),
+            lambda own: 2 * F.size(F.array_intersect(own, template["grams"])) / (F.size(own) + F.size(template["grams"])),
+        )))
+
+    def matches(grams: Column) -> Column:
+        return let(F.array_intersect(grams, known), lambda hits: F.transform(
+            F.filter(wanted, lambda one: F.size(F.array_intersect(hits, one["grams"])) >= one["least"]),
+            lambda one: F.struct(one["licence"].alias("licence"), best(grams, one).alias("dice")),
+        ))
+
+    return let(normalised(whole_text(text)), lambda plain: let(running(plain), matches))
+
+
 def template_sizes(docs: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """A row per template and part size within its bounds: ``n``, ``licence``, ``grams`` and ``m``."""
     table = docs.sparkSession.createDataFrame(
@@ -149,6 +189,15 @@ def find_licences(
     matches = grams.join(broadcast_if_small(sizes), "n").select(
         "id", "tk", "licence", (2 * common / (F.col("n") + F.col("m"))).alias("dice")
     ).filter(F.col("dice") >= threshold)
+    wordings = [
+        (row["licence"], row["grams"], len(plain_template(templates[row["licence"]]).split()))
+        for row in sizes.select("licence", "grams").distinct().orderBy("licence").collect()  # a row per template
+    ]
+    windows = docs.select(
+        F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tk"),
+        F.inline(window_matches(F.col(f"`{text}`"), wordings, threshold)),
+    ).filter(F.col("dice") >= threshold)
+    matches = matches.unionByName(windows)
     best = matches.groupBy("id", "tk", "licence").agg(F.max("dice").alias("dice"))
     found = best.groupBy("id", "tk").agg(
         F.array_sort(F.collect_list(F.struct("licence", "dice"))).alias("found")
@@ -202,8 +251,25 @@ scored AS (
     SELECT doc_id, tk, licence, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice
     FROM grams, wanted WHERE len(own) BETWEEN len(grams) / 2 AND len(grams) * 2
 ),
+running AS (
+    SELECT DISTINCT doc_id, tk, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS own
+    FROM (SELECT doc_id, tk, string_split(trim(regexp_replace(body, '[\n ]+', ' ', 'g')), ' ') AS words FROM plain)
+),
+sized AS (
+    SELECT w.*, len(string_split(t.wording, ' ')) AS words FROM wanted w JOIN templates t USING (licence)
+),
+starts AS (
+    SELECT doc_id, tk, licence, own, grams, words, unnest(list_filter(range(1, len(own) + 1), lambda i: list_contains(grams, own[i]))) AS pos
+    FROM running, sized WHERE len(list_intersect(own, grams)) >= len(grams) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9
+),
+windows AS (
+    SELECT doc_id, tk, licence, 2.0 * len(list_intersect(part, grams)) / (len(part) + len(grams)) AS dice
+    FROM (SELECT doc_id, tk, licence, grams, list_distinct(own[pos:pos + words - 2]) AS part FROM starts)
+),
 best AS (
-    SELECT doc_id, tk, licence, max(dice) AS dice FROM scored WHERE dice >= {THRESHOLD} GROUP BY doc_id, tk, licence
+    SELECT doc_id, tk, licence, max(dice) AS dice FROM (
+        SELECT doc_id, tk, licence, dice FROM scored UNION ALL SELECT doc_id, tk, licence, dice FROM windows)
+    WHERE dice >= {THRESHOLD} GROUP BY doc_id, tk, licence
 ),
 found AS (
     SELECT doc_id, tk, count(*) AS n_licences, string_agg(licence, ',' ORDER BY licence) AS licences, max(dice) AS dice

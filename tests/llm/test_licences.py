@@ -9,6 +9,9 @@ TEXTS = [
     "intro\n\n" + licences.TEMPLATES["apache-2.0-header"].replace(", ", ",\n# ") + "\n \nmore text",
     "licensed, under: CC-BY nc 4.0", "released under the licence of mit", "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.",
     licences.TEMPLATES["isc"] * 2, "mit license " * 40, prose(3, 400),
+    "My notes. " + prose(9, 30) + "\n\n" + licences.TEMPLATES["mit"].replace("following conditions: ", "following conditions:\n\n").replace(
+        "Software. THE", "Software.\n\nTHE") + "\n\n" + prose(10, 60),
+    prose(11, 200) + " " + licences.TEMPLATES["mit"] + " " + prose(12, 150), prose(13, 12) + " This work is licensed under the MIT License, " + prose(14, 9),
 ]
 
 
@@ -16,10 +19,17 @@ def brute(text, threshold=0.8):
     plain = re.sub(r"[^\w\n]+|_", " ", (text or "").lower())
     parts = {plain, *re.split(r"\n ?\n", plain), *plain.split("\n")}
     found = {}
-    for part in parts:
-        words = part.split()
+    every = plain.split()
+    windows = []
+    for name, wording in licences.TEMPLATES.items():
+        plain_words = licences.plain_template(wording).split()
+        grams = set(zip(plain_words, plain_words[1:]))
+        windows += [(name, every[at:at + len(plain_words)]) for at, pair in enumerate(zip(every, every[1:])) if pair in grams]
+    for only, words in [*((None, part.split()) for part in parts), *windows]:
         own = set(zip(words, words[1:]))
         for name, wording in licences.TEMPLATES.items():
+            if only not in (None, name):
+                continue
             plain_words = licences.plain_template(wording).split()
             grams = set(zip(plain_words, plain_words[1:]))
             if own and 2 * len(own & grams) / (len(own) + len(grams)) >= threshold:
@@ -35,7 +45,11 @@ def test_licences_match_brute_force(spark):
         found = brute(row["text"])
         want.append((row["doc_id"], len(found), ",".join(sorted(found)), round(max(found.values()), 6) if found else None))
     assert got == sorted(want, key=repr)
-    assert sum(bool(r[1]) for r in got) >= 6
+    assert sum(bool(r[1]) for r in got) >= 9
+    by_text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    licence_of = {by_text[r[0]]: r[2] for r in got if r[0]}
+    # In three paragraphs of a longer text, inside one paragraph, and in the middle of a line.
+    assert [licence_of[text].split(",")[0] for text in TEXTS[-3:]] == ["mit", "mit", "mit-notice-licensed"]
 
 
 def test_empty_table_and_plan(spark):

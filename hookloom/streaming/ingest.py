@@ -84,8 +84,9 @@ def ingest_stateful(
     spark = requests.sparkSession
     classified = classify_requests(requests, lookup, max_body).withColumn("source", F.coalesce("source", F.lit("")))
     landing = f"{out}/classified"
-    # The second query may start before the first has written anything.
-    spark.createDataFrame([], classified.schema).write.mode("ignore").parquet(landing)
+    # The second query may start before the first has written anything: the folder must be there, but hold
+    # no file, or the file source would not wait for the first query's log of what it committed.
+    spark.createDataFrame([], classified.schema).write.mode("ignore").partitionBy("source").parquet(landing)
     writer = classified.writeStream.format("parquet").option("path", landing)
     parsing = _start(writer, f"{checkpoint}/classify", once)
     if once:

@@ -239,3 +239,15 @@ def test_live_backlog_reports_overdue_events_once(spark, tmp_path):
         str(tmp_path / "done"))
     got = collected(rb.backlog_stream(accepted, done, 300, 60), tmp_path)
     assert sorted(r.id for r in got.collect() if r.id != "d") == ["b", "c", "f"]
+
+
+def test_stateful_ingest_waits_for_the_first_requests(spark, lookup, tmp_path):
+    """Started before anything has landed, it ends without a batch, and takes up what lands later."""
+    path, out, checkpoint = (str(tmp_path / name) for name in ("requests", "tables", "checkpoint"))
+    (tmp_path / "requests").mkdir()
+    for rows in ([], [mail(0, "a", 0), mail(1, "a", 1)]):
+        if rows:
+            stage_requests(requests_table(spark, *rows).coalesce(1), path)
+        si.ingest_stateful(stream_requests(spark, path), lookup, out, checkpoint, once=True).awaitTermination()
+    found = read_table(spark, f"{out}/outcomes").collect()
+    assert sorted(r.outcome for r in found) == ["accepted", "duplicate"]

@@ -8,7 +8,8 @@ anchors; between them, differing texts of one path become a slot, tokens that on
 optional (found by looking ahead on both sides), and tokens of one path that follow each other become
 a repeated group. Wrappers align with wrappers in the same way: pages are ordered by a hash of
 their streams and merged in rounds, by ever shorter prefixes of the hash, so that each task folds a
-few wrappers of a host and the result does not depend on how pages are partitioned.
+few wrappers of a host and the result does not depend on how pages are partitioned. A wrapper keeps
+all its tokens: one that only one page had so far may still meet its like on a page that comes later.
 
 A wrapper tells which texts are the same on the host's pages, which are no part of an article, and which
 element holds the text that varies. A page's own marks come first: ``article`` and ``main``
@@ -363,11 +364,6 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def pruned(tokens: list[list], limit: int = 4000) -> list[list]:
-    """Without optional tokens of one page, if the wrapper has grown; those decide nothing."""
-    return tokens if len(tokens) <= limit else [token for token in tokens if not (token[OPTIONAL] and token[PAGES] == 1)]
-
-
 def wrapper_plan(tokens: list[list], pages: int) -> dict:
     """What a host's wrapper says: the element of the varying text, and the constant texts by path."""
     mass: dict[int, int] = {}
@@ -502,7 +498,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                         done.append((group[0], mark, json.dumps(whole, separators=(",", ":")), pages, group[2]))
                     group, whole, mark, pages = (host, prefix, left), json.loads(tokens), own, count
                 else:
-                    whole = pruned(align(whole, json.loads(tokens)))
+                    whole = align(whole, json.loads(tokens))
                     pages += count
             yield pd.DataFrame(done, columns=["host", "mark", "tokens", "pages", "rounds"])
         if group is not None:

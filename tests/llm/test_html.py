@@ -1,5 +1,8 @@
+import json
 import random
 import time
+import zlib
+from hashlib import blake2b
 
 from pyspark.sql import functions as F
 
@@ -163,3 +166,23 @@ def test_awkward_markup_takes_linear_time():
             tokens = html.page_tokens(text)
             html.align(tokens, html.page_tokens(text.replace("x", "y") + "<p>z"))
     assert time.time() - start < 60
+
+
+def test_a_long_wrapper_keeps_texts_that_meet_their_like_later(spark):
+    def page(name, own=""):
+        return f"<body>{own}<section class='body'><p>Words of {name} alone.</p></section>"
+
+    def mark(content):
+        tokens = json.dumps(html.page_tokens(content), separators=(",", ":"))
+        return int.from_bytes(blake2b(tokens.encode(), digest_size=8).digest(), signed=True)
+
+    shared = "<section class='tail'><div>Read in all places</div></section>"
+    paths = "".join(f"<div class='k{''.join(chr(97 + int(d)) for d in str(i))}'>line {i}</div>" for i in range(4200))
+    # The long page comes first, and no other has its parts.
+    long = min((page(name, paths) for name in "defg"), key=mark)
+    first = mark(long)
+    short = [content for i in range(200) if mark(content := page(f"a{i}") + shared) > first][:3]
+    assert len(short) == 3
+    table = spark.createDataFrame([("h", content) for content in [*short, long]], "host string, html string")
+    plan = json.loads(html.infer_wrappers(table).first()["plan"])
+    assert zlib.crc32(b"Read in all places") in {text: pages for _, text, pages in plan["fixed"] if pages == 3}

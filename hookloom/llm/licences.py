@@ -9,6 +9,8 @@ bigrams are counted. DataFrame functions only.
 
 Windows are as many words as the template has and start at one of its bigrams. As many of a template's
 bigrams as the lower bound says must occur in a text, so texts with fewer have no windows looked at; nearly all do.
+So many bigrams can not do without some words of the template (`needed_words`): a text with none of them is not even
+cut into bigrams.
 A text that spreads a licence over paragraphs, or sets it into a longer one, is thus found.
 
 Defined cases: null and empty texts and parts of fewer than two words match nothing. A text
@@ -86,6 +88,13 @@ TEMPLATES = {
 }
 
 
+# Frequent words, which tell little about whether a text holds a template. They decide speed only.
+FREQUENT = frozenset(
+    "a all an and any as at be but by for from if in is it may no not of on or other out part shall so such text that "
+    "the this to under use version was will with without work you 0 1 2 3 4".split()
+)
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words between single spaces; line breaks stay."""
     return F.regexp_replace(lower_ascii(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
@@ -117,6 +126,38 @@ def plain_template(wording: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", lowered).split())
 
 
+def needed_words(wording: str, threshold: float) -> set[str]:
+    """Words of a plain template of which a text must hold at least one to reach the threshold.
+
+    Without them fewer of its bigrams are left than the lower bound asks for. One word will do or else
+    the longest, frequent ones last.
+    """
+    words = wording.split()
+    left = set(zip(words, words[1:]))
+    least = max(1, math.ceil(len(left) * threshold / (2 - threshold) - 1e-9))
+    ranked = sorted(set(words), key=lambda word: (word in FREQUENT, -len(word), word))
+    single = next((word for word in ranked if sum(word not in pair for pair in left) < least), None)
+    if single is not None and single not in FREQUENT:
+        return {single}
+    needed = set()
+    for word in ranked:
+        if len(left) < least:
+            break
+        if any(word in pair for pair in left):
+            needed.add(word)
+            left = {pair for pair in left if word not in pair}
+    return needed
+
+
+def holds_any(text: Column, words: set[str]) -> Column:
+    """Whether a text may hold one of some words of ASCII letters and digits, in any case."""
+    if not words:
+        return F.lit(False)
+    initials = "".join(sorted({word[0] for word in words}))
+    pattern = rf"(?<![a-z0-9])(?=[{initials}])(?:{'|'.join(sorted(words))})(?![a-z0-9])"
+    return F.lower(whole_text(text)).rlike(pattern)
+
+
 def window_matches(text: Column, templates: list[tuple[str, list[int], int]], threshold: float) -> Column:
     """Licences that a window of running text may match, each with the largest coefficient of its windows.
 
@@ -193,7 +234,8 @@ def find_licences(
         (row["licence"], row["grams"], len(plain_template(templates[row["licence"]]).split()))
         for row in sizes.select("licence", "grams").distinct().orderBy("licence").collect()  # a row per template
     ]
-    windows = docs.select(
+    needed = {word for wording in templates.values() for word in needed_words(plain_template(wording), threshold)}
+    windows = docs.filter(holds_any(F.col(f"`{text}`"), needed)).select(
         F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tk"),
         F.inline(window_matches(F.col(f"`{text}`"), wordings, threshold)),
     ).filter(F.col("dice") >= threshold)

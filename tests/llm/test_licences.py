@@ -68,3 +68,22 @@ def test_bounds_hold_for_low_thresholds(spark):
     found = licences.find_licences(docs, ["doc_id"], threshold=0.5).first()["found"]
     want = {name: round(dice, 9) for name, dice in brute(text, 0.5).items()}
     assert {f.licence: round(f.dice, 9) for f in found} == want and "mpl-2.0-header" in want
+
+
+def test_too_few_bigrams_are_left_without_the_needed_words():
+    for wording in licences.TEMPLATES.values():
+        words = licences.plain_template(wording).split()
+        grams = set(zip(words, words[1:]))
+        for threshold in (0.5, 0.8, 1.0):
+            needed = licences.needed_words(" ".join(words), threshold)
+            left = [pair for pair in grams if needed.isdisjoint(pair)]
+            # As many common bigrams as there are left do not reach the threshold.
+            assert 2 * len(left) / (len(left) + len(grams)) < threshold
+
+
+def test_texts_without_needed_words_are_not_cut_into_bigrams(spark):
+    texts = ["the MIT.", "Mit", "_mit_", "commit mitten", "permit 1mit mit1", None, "é mit", "émit mité"]
+    table = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i int, text string")
+    found = table.select("i", licences.holds_any(table["text"], {"mit", "apache"}).alias("may")).collect()
+    # A letter beyond ASCII beside a word may let a text through, never keep one out.
+    assert [row["i"] for row in found if row["may"]] == [0, 1, 2, 6, 7]

@@ -18,6 +18,10 @@ REQUIRED = {
 # Rows of a lookup table may be shipped to every executor up to this size.
 MAX_BROADCAST_BYTES = 32 << 20
 
+# Bytes of a table's files that one task parses, about, and tasks that a split is spread over, at most.
+SCAN_BYTES = 1 << 20
+SCAN_TASKS = 32
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators need and return the session."""
@@ -54,15 +58,20 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spread a file scan over all cores when it has fewer splits than that.
+def spread_scan(scan: DataFrame, size: int = SCAN_BYTES) -> DataFrame:
+    """Spread a file scan over all cores and over tasks of about ``size`` bytes of its files.
 
-    Parsing is bound by CPU, and a handful of small files would leave most cores idle.
-    A table of many files is read as it is, without a shuffle. Only for plain scans: a
-    plan with exchanges would be executed to count its partitions.
+    Parsing is bound by CPU, and a parsed row takes many times its size in a file, so the splits of a
+    well compressed file would be tasks that last for hours. A split becomes `SCAN_TASKS` tasks at
+    most, and a table whose splits are small and many enough is read as it is, without a shuffle. The
+    size is that of the plan's statistics; no job is started. Only for plain scans: a plan with
+    exchanges would be executed to count its partitions.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits = scan.rdd.getNumPartitions()
+    held = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(cores, min(-(-held // size), SCAN_TASKS * splits))
+    return scan.repartition(tasks) if splits < tasks else scan
 
 
 def localize_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame | None:

@@ -15,6 +15,10 @@ from hookloom.sources.commits import committed_only
 
 MAX_RECORDS_PER_FILE = 2_000_000
 
+# Shuffled bytes of the events that one task sorts, about; they take ten times as much in memory.
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SORT_BYTES = "16m"
+
 # Event files carry a Bloom filter of their ids, sized by the rows there are, and lie in order of
 # id, so that a lookup reads only the row groups that may hold an id.
 ID_INDEX = {
@@ -40,18 +44,31 @@ def _write(
 
 def write_events(
     events: DataFrame, path: str, batch_id: int | None = None, compact: bool = False, attempt: str | None = None,
+    spread: bool = False,
 ) -> None:
     """Append events, partitioned by source.
 
     ``stored_at`` is set to the time of the write unless given. ``compact`` adds a
-    shuffle for few large files; a source with many rows is spread over several tasks. Files are
-    indexed by ``id`` (see `ID_INDEX`).
+    shuffle for few large files; a source with many rows is spread over several tasks. ``spread``
+    shuffles by id into tasks that each sort about `SORT_BYTES`; without it a task sorts its partition, which
+    of a staged table may be a large file. Files are indexed by ``id`` (see `ID_INDEX`).
     """
     if "stored_at" not in events.columns:
         events = events.withColumn("stored_at", F.current_timestamp())
     if compact:
         events = events.hint("rebalance", "source")
-    _write(events.sortWithinPartitions("source", "id"), path, ("source",), batch_id, attempt, **ID_INDEX)
+    elif spread:
+        events = events.hint("rebalance", "id")
+    events = events.sortWithinPartitions("source", "id")
+    conf = events.sparkSession.conf
+    before = conf.get(ADVISORY, None)
+    if spread:
+        conf.set(ADVISORY, SORT_BYTES)
+    try:
+        _write(events, path, ("source",), batch_id, attempt, **ID_INDEX)
+    finally:
+        if spread:
+            conf.unset(ADVISORY) if before is None else conf.set(ADVISORY, before)
 
 
 def write_dead_letters(

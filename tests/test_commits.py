@@ -200,3 +200,12 @@ def test_landed_batches_are_ingested_once_across_restarts(spark, lookup, tmp_pat
     assert second[:6] == first and [o for _, o, _ in second[6:]] == ["duplicate", "accepted"]
     assert spark.read.schema(REQUESTS).parquet(f"{base}/requests/batch_id=3").count() == 0
     assert run() == second
+
+
+def test_a_spread_write_sorts_in_tasks_of_bounded_size(spark, tmp_path):
+    one_task = spark.range(200_000).coalesce(1).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("s").alias("source"))
+    sinks.write_events(one_task, f"{tmp_path}/events", spread=True)
+    stored = read_table(spark, f"{tmp_path}/events")
+    per_file = [row["n"] for row in stored.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_file) > 1 and sum(per_file) == 200_000 and max(per_file) < 120_000
+    assert stored.distinct().count() == 200_000

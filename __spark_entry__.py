@@ -460,7 +460,7 @@ def latency_from_store(spark: SparkSession, sf: str) -> DataFrame:
     result = ingest(rs.mail_requests(spark, sf), lookup(spark))
     number = F.substring("external_id", 4, 20).cast("long")
     stored_at = F.timestamp_micros(F.unix_micros("received_at") + (number * 7919 % 12_000) * 1000)
-    sinks.write_events(result.events.withColumn("stored_at", stored_at), f"{base}/events")
+    sinks.write_events(result.events.withColumn("stored_at", stored_at), f"{base}/events", spread=True)
     sinks.write_outcomes(result.outcomes, f"{base}/outcomes")
     rows = mt.store_latencies(sinks.read_table(spark, f"{base}/outcomes"), sinks.read_table(spark, f"{base}/events"))
     by = ["source", "status"]
@@ -529,15 +529,17 @@ def reprocess_shop(spark: SparkSession, sf: str) -> DataFrame:
     """Shop events, whose type comes from a header, failed until dead-lettered and ingested again."""
     requests = rs.shop_requests(spark, sf)
     events = nm.normalize_requests(requests, lookup(spark)).join(requests.select("request_id", "headers"), "request_id")
-    failed = events.select(
+    # Failures are read several times; their events are worked out once, and each payload is written once.
+    events = stage_table(events.select(
         F.col("request_id").alias("message_id"), "source", "headers",
-        F.to_json(F.struct("request_id", "source", "version", "raw")).alias("payload"),
-        F.explode(F.array(*(F.lit(n) for n in range(3)))).alias("n"), "received_at",
-    ).select(
+        F.to_json(F.struct("request_id", "source", "version", "raw")).alias("payload"), "received_at",
+    ), "failed-events")
+    failed = events.select("*", F.explode(F.array(*(F.lit(n) for n in range(3)))).alias("n")).select(
         F.concat_ws("-", "message_id", "n").alias("failure_id"), "message_id", "source", "headers", "payload",
         F.lit("store event").alias("error"), (F.col("received_at") + F.make_dt_interval(secs=F.col("n"))).alias("failed_at"),
     )
-    plan = rt.plan_retries(rt.attempt_counts(failed), max_retries=3)
+    counts = rt.attempt_counts(failed, stage=lambda df: stage_table(df, "failures"))
+    plan = rt.plan_retries(counts, max_retries=3)
     dead = rt.events_from_payload(rt.route_dead_letters(plan))
     again = ingest(rt.dead_letters_as_requests(dead), lookup(spark), ttl_seconds=1)
     marked = again.outcomes.select("request_id", "type", "outcome")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hookloom.functions.payload import strict_document
 from hookloom.functions.requests import retry_delay_seconds
 from hookloom.operators.dedupe import DAY, ttl_duplicates
+from hookloom.operators.normalize import computed_once
 from hookloom.schemas import REQUESTS
 
 MAX_RETRIES = 5
@@ -94,12 +95,14 @@ def events_from_payload(dead_letters: DataFrame) -> DataFrame:
     Request headers come with the dead letter or, failing that, from the payload; specs
     that take the event type from a header need them.
     """
-    event = F.try_parse_json("payload")  # checked by `readable`
+    event = F.col("_event")
     text = lambda path: F.try_variant_get(event, path, "string")
     headers = F.try_variant_get(event, "$.headers", "map<string,string>")
     if "headers" in dead_letters.columns:
         headers = F.coalesce("headers", headers)
-    return dead_letters.filter("readable").select(
+    # Parsed once, also when later steps filter by what is read from it; checked by `readable`.
+    parsed = computed_once(dead_letters.filter("readable"), _event=F.try_parse_json("payload"))
+    return parsed.select(
         F.coalesce(text("$.request_id"), "message_id").alias("request_id"),
         F.coalesce(text("$.source"), "source").alias("source"),
         text("$.version").alias("version"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from hookloom.operators import catalog as cat
 from hookloom.operators import dedupe as dd
 from hookloom.operators import normalize as nm
 from hookloom.operators import readback as rb
+from hookloom.session import spread_scan, stage_table
 from tests.helpers import request, requests_table
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,28 @@ def test_request_sets_start_no_job(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 3  # one for the schema of each file
+
+
+def test_scans_are_spread_by_size(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 2000 * cores, 1, cores).write.parquet(f"{tmp_path}/rows")
+    scan = spark.read.parquet(f"{tmp_path}/rows")
+    held = sum(file.stat().st_size for file in (tmp_path / "rows").glob("*.parquet"))
+    assert spread_scan(scan, size=held).rdd.getNumPartitions() == cores
+    spread = spread_scan(scan, size=held // (4 * cores) + 1)
+    sizes = [row["n"] for row in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 * cores and max(sizes) < 700 and sum(sizes) == scan.distinct().count() == 2000 * cores
+
+
+def test_failures_of_events_are_worked_out_once(spark, monkeypatch):
+    staged = {}
+
+    def stage(df, name, path=None):
+        staged[name] = stage_table(df, name, path)
+        return staged[name]
+
+    monkeypatch.setattr(entry, "stage_table", stage)
+    sf = "/root/testdata/sf0.001"
+    assert entry.core_queries()["reprocess_shop"](spark, sf).count() == staged["failed-events"].count()
+    assert {"message_id", "payload", "headers"} <= set(staged["failed-events"].columns)
+    assert "failures" in staged
